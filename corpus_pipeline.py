@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.common import Scratch, read
 from quillon.llm.language_id import language_stage
 from quillon.llm.minhash_dedup import dedup_stage
+from quillon.llm.quality_rules import quality_stage
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +15,17 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_stage(docs)
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules judge to be of low quality go."""
+    return quality_stage(docs, read(spark, sf_dir, "labels"), Scratch(spark, "quality-stage"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return dedup_stage(docs)
 
 
-STAGES = [("language ID", languages), ("MinHash near-dedup", near_duplicates)]
+STAGES = [("language ID", languages), ("quality classifier", quality), ("MinHash near-dedup", near_duplicates)]
 
 #: No stage can be said in SQL: each rests on a trained model, hashed signatures or a search.
 ORACLE_SQL = None

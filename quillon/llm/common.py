@@ -95,7 +95,7 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0], valid
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 22) -> Iterable[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterable[tuple[int, int]]:
     """Row ranges of about `limit` bytes, a longer text alone."""
     n, first = len(offsets) - 1, 0
     while first < n:

@@ -8,21 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from .common import read
+from .common import Scratch, read
 from .language_id import language_query
 from .minhash_dedup import dedup_query
+from .quality_rules import quality_query
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_query(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
