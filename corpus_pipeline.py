@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.common import Scratch, read
 from quillon.llm.language_id import language_stage
 from quillon.llm.minhash_dedup import dedup_stage
+from quillon.llm.packing import packing_query
 from quillon.llm.quality_rules import quality_stage
 
 
@@ -25,7 +27,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return dedup_stage(docs)
 
 
-STAGES = [("language ID", languages), ("quality classifier", quality), ("MinHash near-dedup", near_duplicates)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are left as pieces of sequences of 2048 tokens."""
+    return packing_query(docs, public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark, "packing-stage"))
+
+
+STAGES = [("language ID", languages), ("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("best-fit packing", packing)]
 
 #: No stage can be said in SQL: each rests on a trained model, hashed signatures or a search.
 ORACLE_SQL = None

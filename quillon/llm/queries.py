@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 import corpus_pipeline
 
 from .common import Scratch, read
 from .language_id import language_query
 from .minhash_dedup import dedup_query
+from .packing import packing_query
 from .quality_rules import quality_query
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_query(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark, "packing"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_query(read(spark, sf_dir, "documents"))
 
@@ -27,6 +34,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op10_language_id": op10_language_id,
