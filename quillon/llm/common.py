@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
-from collections.abc import Iterable
+import zipfile
+from collections.abc import Callable, Iterable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,29 @@ def fresh(columns: Iterable[str], base: str) -> str:
     return name
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = os.path.realpath(os.path.join(tempfile.mkdtemp(prefix="quillon-"), f"{package.name}.zip"))
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(application)
+
+
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 class Scratch:
     """Tables in the folder that the cluster shares (spark.checkpoint.dir).
 
@@ -43,6 +69,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SCRATCH}"
         self.root = f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
         self.count = 0

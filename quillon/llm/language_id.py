@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, slices, utf8
+from .common import fold, fresh, in_arrow, slices, utf8
 
 ORDER = 3
 UNKNOWN = "und"
@@ -220,7 +220,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: in
     max_grams: most grams kept of a language, which bounds the driver's memory.
     """
     counted = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    counted = counted.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    counted = in_arrow(counted, count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     steps: dict[str, dict[int, int]] = {}
     for name, step, n in counted.groupBy("lang", F.floor(F.log2("n")).alias("step")).count().collect():
         steps.setdefault(name, {})[step] = n
@@ -283,7 +283,7 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", output: s
             yield pa.RecordBatch.from_arrays([*batch.columns, told], [*batch.schema.names, output])
 
     schema = docs.select("*", F.lit(None).cast("struct<lang_pred: string, score: double, bits_per_byte: double>").alias(output)).schema
-    return docs.mapInArrow(score, schema)
+    return in_arrow(docs, score, schema)
 
 
 def held_out(docs: DataFrame):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, components, mix, runs, slices, span_hashes, utf8
+from .common import IS_SPACE, Scratch, components, in_arrow, mix, runs, slices, span_hashes, utf8
 
 PERMUTATIONS, ROWS, BANDS = 252, 6, 42
 #: Longs of the compact signature: 32 minima of 2 bits in each, 256 with the last minima twice.
@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
         raise ValueError("the bands are made for a similarity of 0.8 or more")
     scratch = Scratch(docs.sparkSession, "minhash")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.write(source.mapInArrow(signatures(width), "doc_id long, key1 long, key2 long, n_shingles long, bands array<long>, compact array<long>"), "signed")
+    signed = scratch.write(in_arrow(source, signatures(width), "doc_id long, key1 long, key2 long, n_shingles long, bands array<long>, compact array<long>"), "signed")
     full = signed.filter("doc_id is not null and n_shingles > 0")
     classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"))
     member = full.select("doc_id", "key1", "key2", "n_shingles")
@@ -210,7 +210,7 @@ def whole_sets(source: DataFrame, first: DataFrame, pairs: DataFrame, width: int
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = first.select("doc_id", "node", "key1", "key2").join(wanted, "node")
     texts = source.join(wanted.select("doc_id").distinct(), "doc_id")
-    sets = texts.mapInArrow(shingle_sets(width), "key1 long, key2 long, shingles array<long>")
+    sets = in_arrow(texts, shingle_sets(width), "key1 long, key2 long, shingles array<long>")
     sets = sets.join(wanted.select("key1", "key2", "node"), ["key1", "key2"]).select("node", "shingles")
     return scratch.write(sets.dropDuplicates(["node"]), "sets")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_arrow
 from .word_ids import text_batches, worker_ids
 
 #: Pieces of an island, packings of its population, children in an epoch, epochs, length lists an island sends.
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, doc_id:
                         at, step, number = at + step, capacity, number + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(doc_id, text).mapInArrow(cut, PIECE)
+    return in_arrow(docs.select(doc_id, text), cut, PIECE)
 
 
 # ------------------------------------------------------------- one island

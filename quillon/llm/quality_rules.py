@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, fold, fresh, mix, runs, slices, span_hashes, utf8
+from .common import IS_SPACE, Scratch, fold, fresh, in_arrow, mix, runs, slices, span_hashes, utf8
 
 STATISTICS = ("words", "word_bytes", "upper_share", "digit_share", "bang_rate", "bar_rate", "symbol_share", "stop_rate", "words_a_line", "lines", "unique_share", "top_share", "repeat_share", "line_copies", "triple_copies", "long_share", "capital_share", "rare_bytes")
 
@@ -113,7 +113,7 @@ def with_statistics(docs: DataFrame, text: str, output: str) -> DataFrame:
             told = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATISTICS))], list(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, told], [*batch.schema.names, output])
 
-    return docs.mapInArrow(measure, docs.select("*", F.lit(None).cast(STATISTICS_TYPE).alias(output)).schema)
+    return in_arrow(docs, measure, docs.select("*", F.lit(None).cast(STATISTICS_TYPE).alias(output)).schema)
 
 
 # ------------------------------------------------------------------ fitting

@@ -15,6 +15,11 @@ from .language_id import language_query
 from .minhash_dedup import dedup_query
 from .packing import packing_query
 from .quality_rules import quality_query
+from .toxicity import toxicity_query
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
