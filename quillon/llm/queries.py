@@ -11,6 +11,7 @@ import public_tokenizers
 import corpus_pipeline
 
 from .common import Scratch, read
+from .embedding_dedup import near_duplicates as near_vectors
 from .language_id import language_query
 from .minhash_dedup import dedup_query
 from .packing import packing_query
@@ -22,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), Scratch(spark, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_query(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark, "packing"))
 
@@ -40,6 +45,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
