@@ -5,7 +5,7 @@
    Documents with equal word sequences form a class; the smallest id stands for it from here on.
 2. Banding: BANDS bands of ROWS minima. A pair at the threshold of 0.8 shares no band with a probability
    of (1 - 0.8**6)**42 = 3e-6. Within a bucket nothing is paired off: first each document meets only
-   the bucket's smallest id, and verified links are merged to components. Then documents
+   the leads (first nodes) of the buckets that it shares most bands with, and verified links are merged to components. Then documents
    of one bucket meet where their components still differ, their sizes allow the threshold and a compact
    signature (2 bits of each minimum) does not rule it out.
 3. Verification counts the intersection of the whole sets of 64-bit shingle hashes.
@@ -33,6 +33,8 @@ PERMUTATIONS, ROWS, BANDS = 252, 6, 42
 PACKED = 8
 #: Compact signatures of a pair at similarity 0.8 differ in 15 % of 256 places, 38; this is 5 standard deviations more.
 MOST_DIFFERENT = 68
+#: Nodes that a node meets in the first round; the second round has what that leaves.
+LEADS = 2
 _RANDOM = np.random.Generator(np.random.PCG64(8675309))
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -149,10 +151,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     first = scratch.write(first.withColumn("node", F.col("key1")), "representatives")
     banded = first.select("node", "n", F.explode("bands").alias("band"))
 
-    # Round 1: the smallest node of each bucket against the others.
+    # Round 1: each node against the smallest nodes of its buckets, those LEADS it shares most bands with.
     lead = banded.groupBy("band").agg(F.min("node").alias("lead"))
-    met = banded.join(lead, "band").groupBy("node").agg(F.collect_set("lead").alias("leads"))
-    met = met.select("node", F.explode(F.array_remove("leads", F.col("node"))).alias("lead"))
+    met = banded.join(lead, "band").groupBy("node").agg(F.collect_list("lead").alias("leads"))
+    met = met.withColumn("leads", F.array_remove("leads", F.col("node"))).filter(F.size("leads") > 0)
+    ranked = F.transform(F.array_distinct("leads"), lambda x: F.struct((-F.size(F.filter("leads", lambda y: y == x))).alias("n"), x.alias("lead")))
+    met = met.select("node", F.explode(F.slice(F.array_sort(ranked), 1, LEADS)["lead"]).alias("lead"))
     brief = first.select("node", "n", "compact")
     pairs = pair_up(met.select(F.col("node").alias("a"), F.col("lead").alias("b")), brief, percent)
     pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -162,7 +166,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
     # Round 2: what is left between components.
     labelled = banded.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high and size > 2").select("band")
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
     left = labelled.join(mixed, "band").join(brief.select("node", "compact"), "node")
     left = scratch.write(left, "left")
     x, y = left.alias("x"), left.select(*[F.col(c).alias(f"{c}_") for c in left.columns]).alias("y")
