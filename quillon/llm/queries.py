@@ -16,6 +16,7 @@ from .language_id import language_query
 from .minhash_dedup import dedup_query
 from .packing import packing_query
 from .quality_rules import quality_query
+from .rans_store import store_query
 from .toxicity import toxicity_query
 
 
@@ -35,6 +36,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_query(read(spark, sf_dir, "documents"))
 
 
+def op5_rans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_query(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), Scratch(spark, "store"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_rans_store": op5_rans_store,
     "op7_quality_rules": op7_quality_rules,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
