@@ -17,6 +17,7 @@ from .minhash_dedup import dedup_query
 from .packing import packing_query
 from .quality_rules import quality_query
 from .rans_store import store_query
+from .sharding import assign
 from .toxicity import toxicity_query
 
 
@@ -40,6 +41,10 @@ def op5_rans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_query(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), Scratch(spark, "store"))
 
 
+def op6_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign(read(spark, sf_dir, "documents"), Scratch(spark, "sharding"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_rans_store": op5_rans_store,
+    "op6_lpt_sharding": op6_lpt_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
