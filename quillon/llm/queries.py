@@ -16,6 +16,7 @@ from .exact_search import top_k
 from .language_id import language_query
 from .minhash_dedup import dedup_query
 from .packing import packing_query
+from .piece_sampling import sampling_query
 from .quality_rules import quality_query
 from .rans_store import store_query
 from .sharding import assign
@@ -50,6 +51,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling_query(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), Scratch(spark, "search"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_rans_store": op5_rans_store,
     "op6_lpt_sharding": op6_lpt_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
