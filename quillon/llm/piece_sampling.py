@@ -263,17 +263,17 @@ def top_segmentations(lattices: Lattices, word_of: np.ndarray, key: int, first:
     row = np.array([key], np.uint64)
     value = float(-np.log(-np.log(uniforms(row, 1 << 40)[0])))
     out: list[tuple[Path, float, float]] = []
-    queue: list[tuple[float, int, int, int, frozenset | None]] = []  # -value, order of entry, path, step, lengths used up (None: all sets from the step on)
+    queue: list[tuple[float, int, int, int, frozenset | None]] = []  # -value, order of entry, path, step, lengths used up besides the path's own (None: all sets from the step on)
     entered = 0
 
-    def push(values: np.ndarray, parent: int, at: np.ndarray, used: list) -> None:
+    def push(values: np.ndarray, parent: int, at: np.ndarray, used: dict) -> None:
         nonlocal entered
         some = np.flatnonzero(values > -np.inf)
         if len(some) > k + 1:
             some = some[np.argpartition(-values[some], k)[: k + 1]]
         for j in some.tolist():
             entered += 1
-            heapq.heappush(queue, (-float(values[j]), entered, parent, int(at[j]), used[j]))
+            heapq.heappush(queue, (-float(values[j]), entered, parent, int(at[j]), used.get(j, frozenset())))
 
     def settle(path: Path, limit: float, start: int, used: frozenset) -> None:
         """Takes a path and puts the sets that it leaves aside from step `start` on into the queue."""
@@ -282,23 +282,19 @@ def top_segmentations(lattices: Lattices, word_of: np.ndarray, key: int, first:
         out.append((path, whole, limit))
         if start >= n or len(out) > k:
             return
-        stop = start + 1
-        before = [float(path.log_prob[:start].sum())]
-        while stop < n and before[-1] > FAR:  # the steps that matter are few
-            before.append(before[-1] + float(path.log_prob[stop - 1]))
-            stop += 1
-        aside = np.array(before) + _log1mexp(path.log_prob[start:stop])
+        before = np.concatenate([[0.0], np.cumsum(path.log_prob)])[start:-1]
+        before = before[: int(np.searchsorted(-before, -FAR)) + 1]  # the steps that matter are few
+        stop = start + len(before)
+        aside = before + _log1mexp(path.log_prob[start:stop])
         used = used | {int(path.length[start])}
         mass = np.exp(lattices.log_prob[path.state[start]])
         left = mass.sum() - sum(mass[x - 1] for x in used)
         aside[0] = before[0] + np.log(left) if left > 1e-12 else -np.inf
-        sets: list = [used, *(frozenset({int(x)}) for x in path.length[start + 1 : stop])]
         if stop < n:
             reached = before[-1] + float(path.log_prob[stop - 1])
             aside = np.append(aside, reached + _log1mexp(np.array([whole - reached]))[0])
-            sets.append(None)
         places = np.arange(start, start + len(aside))
-        push(_cut_gumbel(aside, limit, uniforms(row, (1 << 41) + number, places)), number, places, sets)
+        push(_cut_gumbel(aside, limit, uniforms(row, (1 << 41) + number, places)), number, places, {0: used, stop - start: None})
 
     settle(first, value, 0, frozenset())
     while queue and len(out) <= k:
@@ -309,8 +305,9 @@ def top_segmentations(lattices: Lattices, word_of: np.ndarray, key: int, first:
             sums = np.exp(far - far.max()).cumsum()
             values = _cut_gumbel(far, -value, uniforms(row, (1 << 44) + order, np.arange(len(far))))
             values[int(np.searchsorted(sums, uniforms(row, (1 << 45) + order)[0] * sums[-1], "right"))] = -value
-            push(values, parent, np.arange(at, at + len(far)), [frozenset({int(x)}) for x in old.length[at:]])
+            push(values, parent, np.arange(at, at + len(far)), {})
             continue
+        used = used | {int(old.length[at])}
         mass = np.exp(lattices.log_prob[old.state[at]])
         mass[[x - 1 for x in used]] = 0
         sums = mass.cumsum()
