@@ -11,13 +11,25 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import filterfalse
 
 #: Words kept by a worker; then it starts anew. Longer words are not kept.
 KEPT_WORDS, KEPT_LENGTH = 500_000, 64
-_BEFORE, _AFTER = re.compile(r" (?<=\s )"), re.compile(r" \s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = str.maketrans("\t\n\r", "   ")
+#: White space besides spaces and line ends.
+_OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words of Latin letters, maybe with signs after them: both pre-tokenisers cut between the two and nowhere else.
+_LATIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones as themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+
+
+_LETTERS = byte_letters()
 
 
 class WordIds:
@@ -30,33 +42,87 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.space_leads = space_leads
+        #: By word; where the space leads, `kept` has words after a space, `bare` the first words of texts.
         self.kept: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self.bare: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a string that the vocabulary's pre-tokeniser leaves whole, by the library's model."""
+        if piece not in self.pieces:
+            letters = piece.encode().decode("latin-1").translate(_LETTERS)
+            self.pieces[piece] = array("I", [x.id for x in self.library.model.tokenize(letters)]).tobytes()
+        return self.pieces[piece]
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+        for word in words:
+            whole = b""
+            # A line end between two other characters is a piece of its own.
+            for k, part in enumerate(word.split("\n")):
+                m = _LATIN.fullmatch(part)
+                if m is None:
+                    rest.append(word)
+                    break
+                stem, signs = m.groups()
+                if k:
+                    whole += self._piece("\n")
+                whole += self._piece(stem if self.space_leads else stem.lower())
+                if signs:
+                    whole += self._piece(signs)
+            else:
+                out[word] = whole
+        if rest:
+            out.update(zip(rest, [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(rest, add_special_tokens=False)]))
+        return out
 
     def _words(self, text: str) -> list[str]:
         if not self.space_leads:
             return text.translate(_BLANK).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-        words = text.split(" ") if not (_AFTER.search(text) or (" " in text and _BEFORE.search(text, 1))) else _SINGLE.split(text)
-        return [words[0], *map(" ".__add__, words[1:])]
+        if "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
+            return _SINGLE.split(text)
+        return text.split(" ")
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        kept = self.kept
-        split = [self._words(t) for t in texts]
-        wanted: set[str] = set()
-        for words in split:
-            wanted.update(filterfalse(kept.__contains__, words))
-        new = list(wanted)
+    def _add(self, kept: dict[str, bytes], words: set[str], lead: str) -> list[str]:
+        """Encodes words into kept; those that are not to stay there."""
+        new = list(words)
         for first in range(0, len(new), 20_000):
             part = new[first : first + 20_000]
-            kept.update(zip(part, self._encode(part)))
-        out = [b"".join(map(kept.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > KEPT_LENGTH:
-                del kept[word]
+            coded = self._encode([lead + w for w in part])
+            kept.update((w, coded[lead + w]) for w in part)
+        return [w for w in new if len(w) > KEPT_LENGTH or "\n" in w]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        for held in (self.kept, self.bare):
+            if len(held) > KEPT_WORDS:
+                held.clear()
+        kept, first = self.kept, self.bare if self.space_leads else self.kept
+        out: list[bytes] = []
+        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        wanted, wanted_first = set(), set()
+        for text in texts:
+            words = self._words(text)
+            parts = list(map(kept.get, words))
+            parts[0] = first.get(words[0])
+            try:
+                out.append(b"".join(parts))
+            except TypeError:  # some word is new
+                wanted.update([w for w, x in zip(words, parts) if x is None])
+                if parts[0] is None:
+                    wanted_first.add(words[0])
+                open_.append((len(out), words, parts))
+                out.append(b"")
+        passing = [(kept, self._add(kept, wanted - kept.keys(), " " if self.space_leads else ""))]
+        passing.append((first, self._add(first, wanted_first - first.keys(), "")))
+        for at, words, parts in open_:
+            whole = [kept[w] if x is None else x for w, x in zip(words, parts)]
+            whole[0] = first[words[0]]
+            out[at] = b"".join(whole)
+        for held, words in passing:
+            for word in words:
+                held.pop(word, None)
         return out
 
 
