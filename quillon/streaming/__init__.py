@@ -1,0 +1 @@
+"""The engine answers finite queries; its SQL has no streams."""
