@@ -5,8 +5,9 @@
    Documents with equal word sequences form a class; the smallest id stands for it from here on.
 2. Banding: BANDS bands of ROWS minima. A pair at the threshold of 0.8 shares no band with a probability
    of (1 - 0.8**6)**42 = 3e-6. Within a bucket nothing is paired off: first each document meets only
-   the leads (first nodes) of the buckets that it shares most bands with, and verified links are merged to components. Then documents
-   of one bucket meet where their components still differ, their sizes allow the threshold and a compact
+   the leads (first nodes) of the buckets that it shares most bands with, and verified links are merged to components. Where a bucket still holds several
+   components, its documents meet others at random for a few rounds. At last documents
+   of one bucket meet wherever their components still differ, their sizes allow the threshold and a compact
    signature (2 bits of each minimum) does not rule it out.
 3. Verification counts the intersection of the whole sets of 64-bit shingle hashes.
 4. Components by alternating large-star and small-star.
@@ -33,8 +34,10 @@ PERMUTATIONS, ROWS, BANDS = 252, 6, 42
 PACKED = 8
 #: Compact signatures of a pair at similarity 0.8 differ in 15 % of 256 places, 38; this is 5 standard deviations more.
 MOST_DIFFERENT = 68
-#: Nodes that a node meets in the first round; the second round has what that leaves.
+#: Nodes that a node meets in a round; the last round has what that leaves.
 LEADS = 2
+#: Rounds against random nodes, before the rest is compared pair by pair.
+STAR_ROUNDS = 4
 _RANDOM = np.random.Generator(np.random.PCG64(8675309))
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -151,41 +154,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     first = scratch.write(first.withColumn("node", F.col("key1")), "representatives")
     banded = first.select("node", "n", F.explode("bands").alias("band"))
 
-    # Round 1: each node against the smallest nodes of its buckets, those LEADS it shares most bands with.
-    lead = banded.groupBy("band").agg(F.min("node").alias("lead"))
-    met = banded.join(lead, "band").groupBy("node").agg(F.collect_list("lead").alias("leads"))
-    met = met.withColumn("leads", F.array_remove("leads", F.col("node"))).filter(F.size("leads") > 0)
-    ranked = F.transform(F.array_distinct("leads"), lambda x: F.struct((-F.size(F.filter("leads", lambda y: y == x))).alias("n"), x.alias("lead")))
-    met = met.select("node", F.explode(F.slice(F.array_sort(ranked), 1, LEADS)["lead"]).alias("lead"))
     brief = first.select("node", "n", "compact")
-    pairs = pair_up(met.select(F.col("node").alias("a"), F.col("lead").alias("b")), brief, percent)
-    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    sets = whole_sets(source, first, pairs, width, scratch)
-    links = scratch.write(verified(pairs, sets, percent), "links")
-    groups = scratch.write(components(links, scratch), "groups")
+    sets = Sets(source, first, width, scratch)
+    tried = None  # pairs whose sets have been compared
+    groups = None  # id, component of the nodes that links have joined
+
+    def confirm(pairs: DataFrame) -> bool:
+        """Compares the sets of new pairs and merges what they link; False if there were none."""
+        nonlocal tried, groups
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            return False
+        links = scratch.write(verified(pairs, sets.of(pairs), percent), "links")
+        tried = pairs if tried is None else tried.union(pairs)
+        groups = scratch.write(components(links, scratch) if groups is None else merged(groups, links, scratch), "groups")
+        return True
 
-    # Round 2: what is left between components.
-    labelled = banded.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    left = labelled.join(mixed, "band").join(brief.select("node", "compact"), "node")
-    left = scratch.write(left, "left")
-    x, y = left.alias("x"), left.select(*[F.col(c).alias(f"{c}_") for c in left.columns]).alias("y")
-    cross = x.join(y, (F.col("band") == F.col("band_")) & (F.col("component") < F.col("component_")) & sizes_fit(F.col("n"), F.col("n_"), percent) & (different("compact", "compact_") <= MOST_DIFFERENT))
-    more = cross.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.write(more, "more")
-    if more.limit(1).count():
-        sets = whole_sets(source, first, more, width, scratch)
-        found = scratch.write(verified(more, sets, percent), "found")
-        if found.limit(1).count():
-            named = lambda c: F.coalesce(F.col(c), F.col("end"))
-            ends = found
-            for c in ("a", "b"):
-                ends = ends.withColumn("end", F.col(c)).join(groups.select(F.col("id").alias(c), F.col("component").alias("of")), c, "left").withColumn("of", F.coalesce("of", "end")).drop(c, "end").withColumnRenamed("of", c)
-            merged = scratch.write(components(ends.select("a", "b"), scratch), "merged")
-            known = groups.select(F.col("id").alias("node"), "component").union(ends.select(F.col("a").alias("node"), F.col("a").alias("component"))).union(ends.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-            # found nodes that had no component are their own
-            known = known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
-            groups = scratch.write(known.select(F.col("node").alias("id"), F.coalesce("top", "component").alias("component")), "groups")
+    # Round 1: each node against the smallest nodes of its buckets, those LEADS it shares most bands with.
+    lead = banded.groupBy("band").agg(F.min("node").alias("lead"))
+    any_pairs = confirm(pair_up(closest(banded.join(lead, "band")), brief, percent))
+    # The next rounds: nodes against other nodes at random where a bucket holds several components.
+    for number in range(STAR_ROUNDS if any_pairs else 0):
+        left = between_components(banded, groups, scratch)
+        if not left.limit(1).count():
+            break
+        lead = left.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(number))).alias("found")).select("band", F.col("found.node").alias("lead"), F.col("found.component").alias("other"))
+        confirm(pair_up(closest(left.join(lead, "band").filter("component <> other")), brief, percent))
+        scratch.drop(left)
+    # The last round: all that is left between components, pair by pair.
+    if groups is None:
+        groups = scratch.write(banded.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0), "groups")
+    left = between_components(banded, groups, scratch)
+    if left.limit(1).count():
+        left = scratch.write(left.join(brief.select("node", "compact"), "node"), "left")
+        x, y = left.alias("x"), left.select(*[F.col(c).alias(f"{c}_") for c in left.columns]).alias("y")
+        cross = x.join(y, (F.col("band") == F.col("band_")) & (F.col("component") < F.col("component_")) & sizes_fit(F.col("n"), F.col("n_"), percent) & (different("compact", "compact_") <= MOST_DIFFERENT))
+        confirm(cross.select(F.col("node").alias("a"), F.col("node_").alias("b")))
 
     # From nodes to ids: the smallest id of all classes in the component; an id with several texts joins its classes.
     node = first.select("key1", "key2", "node", F.col("doc_id").alias("class_id")).join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -209,14 +214,54 @@ def pair_up(pairs: DataFrame, brief: DataFrame, percent: int) -> DataFrame:
     return both.filter(sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (different("c_a", "c_b") <= MOST_DIFFERENT)).select("a", "b")
 
 
-def whole_sets(source: DataFrame, first: DataFrame, pairs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """node, shingles of the documents in pairs, from their texts."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = first.select("doc_id", "node", "key1", "key2").join(wanted, "node")
-    texts = source.join(wanted.select("doc_id").distinct(), "doc_id")
-    sets = in_arrow(texts, shingle_sets(width), "key1 long, key2 long, shingles array<long>")
-    sets = sets.join(wanted.select("key1", "key2", "node"), ["key1", "key2"]).select("node", "shingles")
-    return scratch.write(sets.dropDuplicates(["node"]), "sets")
+def closest(met: DataFrame) -> DataFrame:
+    """(a, b): each node with those LEADS leads that it met most often."""
+    met = met.groupBy("node").agg(F.collect_list("lead").alias("leads"))  # a band each at most
+    met = met.withColumn("leads", F.array_remove("leads", F.col("node"))).filter(F.size("leads") > 0)
+    ranked = F.transform(F.array_distinct("leads"), lambda x: F.struct((-F.size(F.filter("leads", lambda y: y == x))).alias("n"), x.alias("lead")))
+    return met.select(F.col("node").alias("a"), F.explode(F.slice(F.array_sort(ranked), 1, LEADS)["lead"]).alias("b"))
+
+
+def between_components(banded: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, n, band, component of the buckets that hold several components."""
+    labelled = banded.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    return scratch.write(labelled.join(mixed, "band").select("node", "n", "band", "component"), "between")
+
+
+def merged(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """groups after more links: components of components."""
+    ends = links
+    for c in ("a", "b"):
+        of = groups.select(F.col("id").alias(c), F.col("component").alias("of"))
+        ends = ends.join(of, c, "left").withColumn(c, F.coalesce("of", c)).drop("of")
+    ends = scratch.write(ends.select("a", "b"), "ends")
+    tops = scratch.write(components(ends, scratch), "tops").select(F.col("id").alias("component"), F.col("component").alias("top"))
+    # Nodes that had no component are one of their own.
+    known = groups.select("id", "component").union(ends.select(F.col("a"), F.col("a"))).union(ends.select(F.col("b"), F.col("b"))).groupBy("id").agg(F.min("component").alias("component"))
+    return known.join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
+class Sets:
+    """Whole shingle sets by node, computed from the texts where a pair first asks for them."""
+
+    def __init__(self, source: DataFrame, first: DataFrame, width: int, scratch: Scratch):
+        self.source, self.first, self.width, self.scratch = source, first, width, scratch
+        self.held: DataFrame | None = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """node, shingles: of all nodes in pairs, at least."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.held is not None:
+            wanted = wanted.join(self.held.select("node"), "node", "left_anti")
+        wanted = self.scratch.write(self.first.select("doc_id", "node", "key1", "key2").join(wanted, "node"), "wanted")
+        if wanted.limit(1).count():
+            texts = self.source.join(wanted.select("doc_id").distinct(), "doc_id")
+            sets = in_arrow(texts, shingle_sets(self.width), "key1 long, key2 long, shingles array<long>")
+            sets = sets.join(wanted.select("key1", "key2", "node"), ["key1", "key2"]).select("node", "shingles")
+            sets = self.scratch.write(sets.dropDuplicates(["node"]), "sets")
+            self.held = sets if self.held is None else self.held.union(sets)
+        return self.held
 
 
 def shingle_sets(width: int):
