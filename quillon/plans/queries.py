@@ -45,7 +45,19 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-c, agg_sum, one = F.col, (lambda x: F.sum(x).cast("bigint")), F.lit(1)
+# Columns are made inside functions only: importing this module needs no session.
+def c(name: str):
+    return F.col(name)
+
+
+def agg_sum(column):
+    return F.sum(column).cast("bigint")
+
+
+def on_customer():
+    return c("c_custkey") == c("o_custkey")
+
+
 
 # ---------------------------------------------------------------- flagship
 
@@ -115,11 +127,10 @@ for name, pattern in (("prefix", "Customer#00000%"), ("contains", "%77%"), ("und
 
 # ------------------------------------------------------------------- joins
 
-_ON = c("c_custkey") == c("o_custkey")
 _PAIR = "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey"
 for name, strategy in (("hash", "hash"), ("merge", "merge"), ("index_nl", "broadcast")):
-    query(f"join_{name}", _PAIR)(lambda t, strategy=strategy: R.join(t.orders.select("o_orderkey", "o_custkey"), t.customer.select("c_custkey", "c_name"), _ON, strategy=strategy).select("o_orderkey", "c_name"))
-query("join_inner", _PAIR)(lambda t: R.join(t.orders, t.customer, _ON).select("o_orderkey", "c_name"))
+    query(f"join_{name}", _PAIR)(lambda t, strategy=strategy: R.join(t.orders.select("o_orderkey", "o_custkey"), t.customer.select("c_custkey", "c_name"), on_customer(), strategy=strategy).select("o_orderkey", "c_name"))
+query("join_inner", _PAIR)(lambda t: R.join(t.orders, t.customer, on_customer()).select("o_orderkey", "c_name"))
 query("join_bnl_theta", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey < n_nationkey")(lambda t: R.join(t.supplier, t.nation, c("s_nationkey") < c("n_nationkey"), strategy="broadcast").select("s_suppkey", "n_nationkey"))
 query("join_using", "SELECT a.n_nationkey, a.n_name, b.n_nationkey AS right_key FROM nation a JOIN nation b USING (n_nationkey)")(lambda t: R.join_using(a := t.nation, b := t.nation.select("n_nationkey"), ["n_nationkey"]).select(a["n_nationkey"], a["n_name"], b["n_nationkey"].alias("right_key")))
 query("join_cross", "SELECT n_name, r_name FROM nation, region")(lambda t: R.join(t.nation, t.region, None).select("n_name", "r_name"))
@@ -127,7 +138,7 @@ query("join_comma_where", "SELECT n_name, r_name FROM nation, region WHERE n_reg
 _BIG = "(SELECT * FROM orders WHERE o_orderkey % 5 = 0)"
 for name, how in (("left", "left"), ("right", "right"), ("full", "full")):
     query(f"join_{name}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c {how.upper()} JOIN {_BIG} o ON c_custkey = o_custkey")(
-        lambda t, how=how: R.join(t.customer.filter("c_custkey % 2 = 0"), t.orders.filter("o_orderkey % 5 = 0"), _ON, how).select("c_custkey", "o_orderkey")
+        lambda t, how=how: R.join(t.customer.filter("c_custkey % 2 = 0"), t.orders.filter("o_orderkey % 5 = 0"), on_customer(), how).select("c_custkey", "o_orderkey")
     )
 query("join_self", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")(
     lambda t: R.join(t.supplier.alias("a"), t.supplier.alias("b"), (c("a.s_nationkey") == c("b.s_nationkey")) & (c("a.s_suppkey") < c("b.s_suppkey"))).select(c("a.s_suppkey").alias("x"), c("b.s_suppkey").alias("y"))
@@ -157,7 +168,7 @@ def chain(t: Tables, n: int, reverse: bool = False) -> JoinQuery:
 for _n in range(2, 7):
     _from = " JOIN ".join(x if y is None else f"{x} ON {y} = {z}" for x, y, z in _CHAIN[:_n])
     query(f"cbo_chain_{_n}", f"SELECT {', '.join(col for x, _, _ in _CHAIN[:_n] for col in _COLUMNS[x].split())} FROM {_from}")(lambda t, n=_n: chain(t, n).dataframe())
-query("cbo_skewed", f"SELECT r_name, COUNT(*) AS n FROM {' JOIN '.join(x if y is None else f'{x} ON {y} = {z}' for x, y, z in _CHAIN[:5])} GROUP BY r_name")(lambda t: chain(t, 5, reverse=True).dataframe().groupBy("r_name").agg(F.count(one).alias("n")))
+query("cbo_skewed", f"SELECT r_name, COUNT(*) AS n FROM {' JOIN '.join(x if y is None else f'{x} ON {y} = {z}' for x, y, z in _CHAIN[:5])} GROUP BY r_name")(lambda t: chain(t, 5, reverse=True).dataframe().groupBy("r_name").agg(F.count("*").alias("n")))
 query("cbo_explain")(lambda t: values(t._spark, [(k, line) for k, line in enumerate(chain(t, 4).explain().split("\n"))], "line long, told string"))
 
 _CBO_SQL = "SELECT r_name, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey, region WHERE n_regionkey = r_regionkey AND o_orderstatus = 'F' GROUP BY r_name"
@@ -214,13 +225,13 @@ query("limit_offset", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7
 query("topn", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 10")(lambda t: R.top_n(t.orders, 10, c("o_custkey"), c("o_orderkey")).select("o_orderkey", "o_custkey"))
 query("topn_multi", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderstatus, o_custkey DESC, o_orderkey LIMIT 10")(lambda t: R.top_n(t.orders, 10, c("o_orderstatus"), c("o_custkey").desc(), c("o_orderkey")).select("o_orderkey", "o_custkey"))
 query("topn_larger_than_input", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 1000")(lambda t: R.top_n(t.nation, 1000, c("n_nationkey")).select("n_nationkey"))
-query("subquery_from", "SELECT s.k, COUNT(*) AS n FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') s GROUP BY s.k")(lambda t: R.subquery(t.orders.filter("o_orderstatus = 'O'").select(c("o_custkey").alias("k")), "s").groupBy("s.k").agg(F.count(one).alias("n")))
+query("subquery_from", "SELECT s.k, COUNT(*) AS n FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') s GROUP BY s.k")(lambda t: R.subquery(t.orders.filter("o_orderstatus = 'O'").select(c("o_custkey").alias("k")), "s").groupBy("s.k").agg(F.count("*").alias("n")))
 
 
 @query("materialized_reuse", "SELECT a.o_custkey AS k, a.n AS n, b.total AS total FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) a CROSS JOIN (SELECT COUNT(*) AS total FROM (SELECT o_custkey FROM orders GROUP BY o_custkey)) b")
 def _(t: Tables) -> DataFrame:
-    counts = R.materialize(t.orders.groupBy("o_custkey").agg(F.count(one).alias("n")))
-    return counts.crossJoin(F.broadcast(counts.agg(F.count(one).alias("total")))).select(c("o_custkey").alias("k"), "n", "total")
+    counts = R.materialize(t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")))
+    return counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("total")))).select(c("o_custkey").alias("k"), "n", "total")
 
 
 # ----------------------------------------------------------------- indexes
