@@ -152,7 +152,7 @@ class Lattices:
         n, width = len(code), min(vocabulary.longest, int(length.max(initial=1)))
         stop = np.repeat(self.end, length)
         self.piece = np.full((n, width), -1, np.int32)
-        weight = np.full((n, width), -np.inf)
+        weight = np.full((n, width), -np.inf, np.float32)
         live, h = np.arange(n), np.zeros(n, np.uint64)
         for k in range(width):
             inside = live + k < stop[live]
@@ -182,7 +182,7 @@ class Lattices:
             total[rows] = top + np.log(np.exp(own - top[:, None]).sum(1))
             weight[rows, :reach] = own - total[rows][:, None]
         self.log_prob = weight
-        self.sums = np.exp(weight).cumsum(1).astype(np.float32)
+        self.sums = np.exp(weight).cumsum(1)
 
     def step(self, state: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """Lengths of the pieces drawn."""
@@ -235,7 +235,7 @@ def draw(lattices: Lattices, word_of: np.ndarray, base: np.ndarray, state: np.nd
     out = [np.empty(len(at), np.int64) for _ in range(3)]
     for target, values in zip(out, (word, state, k)):
         target[at] = values
-    return Path(*out, lattices.log_prob[out[1], out[2] - 1])
+    return Path(*out, lattices.log_prob[out[1], out[2] - 1].astype(np.float64))
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:
@@ -287,7 +287,7 @@ def top_segmentations(lattices: Lattices, word_of: np.ndarray, key: int, first:
         stop = start + len(before)
         aside = before + _log1mexp(path.log_prob[start:stop])
         used = used | {int(path.length[start])}
-        mass = np.exp(lattices.log_prob[path.state[start]])
+        mass = np.exp(lattices.log_prob[path.state[start]].astype(np.float64))
         left = mass.sum() - sum(mass[x - 1] for x in used)
         aside[0] = before[0] + np.log(left) if left > 1e-12 else -np.inf
         if stop < n:
@@ -308,7 +308,7 @@ def top_segmentations(lattices: Lattices, word_of: np.ndarray, key: int, first:
             push(values, parent, np.arange(at, at + len(far)), {})
             continue
         used = used | {int(old.length[at])}
-        mass = np.exp(lattices.log_prob[old.state[at]])
+        mass = np.exp(lattices.log_prob[old.state[at]].astype(np.float64))
         mass[[x - 1 for x in used]] = 0
         sums = mass.cumsum()
         length = int(np.searchsorted(sums, uniforms(row, (1 << 42) + number)[0] * sums[-1], "right")) + 1
@@ -395,7 +395,7 @@ def sample(docs: DataFrame, path: str, weights: np.ndarray, k: int = 3, seed: in
         vocabulary = Vocabulary(path, shared.value)
         for batch in rows:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in text_batches(texts, 1 << 20):
+            for first, last in text_batches(texts):
                 found = sample_texts(vocabulary, keys[first:last], texts[first:last], k, seed)
                 flat = [(key, r + 1, *s) for key, samples in zip(keys[first:last], found) for r, s in enumerate(samples)]
                 ends = np.concatenate([[0], np.cumsum([len(x[2]) for x in flat])]).astype(np.int32)
