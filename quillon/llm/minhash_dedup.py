@@ -14,8 +14,8 @@
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer words
 than a shingle make one shingle. Rows with a null id stand alone (component_id null,
-kept true). Rows that repeat an id count as one document and are all returned; if their texts differ, the
-document has the links of either. An empty table gives an empty result. Other columns do no harm.
+kept true). Rows that repeat an id and a text count as one document and are all returned; if the texts of
+an id differ, each row has the component of its own text. An empty table gives an empty result. Other columns do no harm.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     full = signed.filter("doc_id is not null and n_shingles > 0")
     classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"))
     member = full.select("doc_id", "key1", "key2", "n_shingles")
-    # The smallest id of a class carries its signature; an id with several texts stands for each of their classes.
+    # The smallest id of a class carries its signature.
     first = full.join(classes, ["key1", "key2"]).filter("doc_id = class_id").groupBy("doc_id", "key1", "key2").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("compact").alias("compact"))
     first = scratch.write(first.withColumn("node", F.col("key1")), "representatives")
     banded = first.select("node", "n", F.explode("bands").alias("band"))
@@ -175,25 +175,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     # Round 1: each node against the smallest nodes of its buckets, those LEADS it shares most bands with.
     lead = banded.groupBy("band").agg(F.min("node").alias("lead"))
     any_pairs = confirm(pair_up(closest(banded.join(lead, "band")), brief, percent))
-    # The next rounds: nodes against other nodes at random where a bucket holds several components.
+    # The next rounds: nodes against other nodes at random where a bucket holds several components, while that helps.
+    if groups is None:
+        groups = scratch.write(banded.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0), "groups")
+    left = between_components(banded, groups, scratch)
+    size, before = left.count(), None
     for number in range(STAR_ROUNDS if any_pairs else 0):
-        left = between_components(banded, groups, scratch)
-        if not left.limit(1).count():
+        if not size or before is not None and size > 0.7 * before:
             break
         lead = left.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(number))).alias("found")).select("band", F.col("found.node").alias("lead"), F.col("found.component").alias("other"))
-        confirm(pair_up(closest(left.join(lead, "band").filter("component <> other")), brief, percent))
+        if not confirm(pair_up(closest(left.join(lead, "band").filter("component <> other")), brief, percent)):
+            break
         scratch.drop(left)
+        left, before = between_components(banded, groups, scratch), size
+        size = left.count()
     # The last round: all that is left between components, pair by pair.
-    if groups is None:
-        groups = scratch.write(banded.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0), "groups")
-    left = between_components(banded, groups, scratch)
-    if left.limit(1).count():
+    if size:
         left = scratch.write(left.join(brief.select("node", "compact"), "node"), "left")
         x, y = left.alias("x"), left.select(*[F.col(c).alias(f"{c}_") for c in left.columns]).alias("y")
         cross = x.join(y, (F.col("band") == F.col("band_")) & (F.col("component") < F.col("component_")) & sizes_fit(F.col("n"), F.col("n_"), percent) & (different("compact", "compact_") <= MOST_DIFFERENT))
         confirm(cross.select(F.col("node").alias("a"), F.col("node_").alias("b")))
 
-    # From nodes to ids: the smallest id of all classes in the component; an id with several texts joins its classes.
+    # From nodes to ids: the smallest id of all classes in the component.
     node = first.select("key1", "key2", "node", F.col("doc_id").alias("class_id")).join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = node.groupBy("component").agg(F.min("class_id").alias("component_id"))
     node = node.join(least, "component").select("key1", "key2", "class_id", "component_id")
