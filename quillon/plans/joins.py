@@ -47,9 +47,14 @@ class JoinQuery:
 
     def graph(self) -> JoinGraph:
         """Sizes are counts of the inputs, unless given."""
-        for i in self.inputs:
-            if i.rows is None:
-                i.rows = i.df.count()
+        unknown = [i for i in self.inputs if i.rows is None]
+        if unknown:  # one job for all of them
+            counts = None
+            for k, i in enumerate(unknown):
+                own = i.df.agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "n")
+                counts = own if counts is None else counts.union(own)
+            for k, n in counts.collect():
+                unknown[k].rows = n
         predicates = [Predicate(a, b, True, x, y) for a, x, b, y in self.links]
         return JoinGraph([i.name for i in self.inputs], [i.rows for i in self.inputs], predicates, {k: list(i.indexes) for k, i in enumerate(self.inputs) if i.indexes}, self.buffers, self.sorted_inputs)
 
