@@ -70,7 +70,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         ship(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SCRATCH}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = f"file://{LOCAL_SCRATCH}"
         self.root = f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self._remove, self.root)
