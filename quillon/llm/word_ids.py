@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: Words kept by a worker; then it starts anew. Longer words are not kept.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+KEPT_WORDS, KEPT_LENGTH = 800_000, 64
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = str.maketrans("\t\n\r", "   ")
 #: White space besides spaces and line ends.
@@ -54,30 +54,6 @@ class WordIds:
             self.pieces[piece] = array("I", [x.id for x in self.library.model.tokenize(letters)]).tobytes()
         return self.pieces[piece]
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        out, rest = {}, []
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
-        for word in words:
-            whole = b""
-            # A line end between two other characters is a piece of its own.
-            for k, part in enumerate(word.split("\n")):
-                m = _LATIN.fullmatch(part)
-                if m is None:
-                    rest.append(word)
-                    break
-                stem, signs = m.groups()
-                if k:
-                    whole += self._piece("\n")
-                whole += self._piece(stem if self.space_leads else stem.lower())
-                if signs:
-                    whole += self._piece(signs)
-            else:
-                out[word] = whole
-        if rest:
-            out.update(zip(rest, [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(rest, add_special_tokens=False)]))
-        return out
-
     def _words(self, text: str) -> list[str]:
         if not self.space_leads:
             return text.translate(_BLANK).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
@@ -87,12 +63,38 @@ class WordIds:
 
     def _add(self, kept: dict[str, bytes], words: set[str], lead: str) -> list[str]:
         """Encodes words into kept; those that are not to stay there."""
-        new = list(words)
-        for first in range(0, len(new), 20_000):
-            part = new[first : first + 20_000]
-            coded = self._encode([lead + w for w in part])
-            kept.update((w, coded[lead + w]) for w in part)
-        return [w for w in new if len(w) > KEPT_LENGTH or "\n" in w]
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+        known, match, lower, rest, passing = self.pieces.get, _LATIN.fullmatch, not self.space_leads, [], []
+        for word in words:
+            lines = (word,)
+            if "\n" in word:  # a line end between two other characters is a piece of its own
+                lines = word.split("\n")
+                passing.append(word)
+            elif len(word) > KEPT_LENGTH:
+                passing.append(word)
+            whole, before = b"", lead
+            for line in lines:
+                found = match(before + line)
+                if found is None:
+                    rest.append(word)
+                    break
+                if whole:
+                    whole += known("\n") or self._piece("\n")
+                before = ""
+                stem, signs = found.groups()
+                if lower:
+                    stem = stem.lower()
+                whole += known(stem) or self._piece(stem)
+                if signs:
+                    whole += known(signs) or self._piece(signs)
+            else:
+                kept[word] = whole
+        for first in range(0, len(rest), 20_000):
+            part = rest[first : first + 20_000]
+            coded = self.library.encode_batch_fast([lead + w for w in part], add_special_tokens=False)
+            kept.update(zip(part, [array("I", x.ids).tobytes() for x in coded]))
+        return passing
 
     def ids(self, texts: list[str]) -> list[bytes]:
         for held in (self.kept, self.bare):
@@ -100,7 +102,7 @@ class WordIds:
                 held.clear()
         kept, first = self.kept, self.bare if self.space_leads else self.kept
         out: list[bytes] = []
-        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         wanted, wanted_first = set(), set()
         for text in texts:
             words = self._words(text)
@@ -109,17 +111,18 @@ class WordIds:
             try:
                 out.append(b"".join(parts))
             except TypeError:  # some word is new
-                wanted.update([w for w, x in zip(words, parts) if x is None])
+                missing = [k for k, x in enumerate(parts) if x is None]
+                wanted.update([words[k] for k in missing if k])
                 if parts[0] is None:
                     wanted_first.add(words[0])
-                open_.append((len(out), words, parts))
+                open_.append((len(out), words, parts, missing))
                 out.append(b"")
         passing = [(kept, self._add(kept, wanted - kept.keys(), " " if self.space_leads else ""))]
         passing.append((first, self._add(first, wanted_first - first.keys(), "")))
-        for at, words, parts in open_:
-            whole = [kept[w] if x is None else x for w, x in zip(words, parts)]
-            whole[0] = first[words[0]]
-            out[at] = b"".join(whole)
+        for at, words, parts, missing in open_:
+            for k in missing:
+                parts[k] = kept[words[k]] if k else first[words[0]]
+            out[at] = b"".join(parts)
         for held, words in passing:
             for word in words:
                 held.pop(word, None)
