@@ -135,6 +135,8 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray,
                         for child in (int(tree.left[n]), int(tree.right[n])):
                             if bound[child] >= worst:
                                 heapq.heappush(heap, (-bound[child], child))
+                if not leaves:  # a box allowed what none of its parts does
+                    break
                 rows = np.concatenate([np.arange(tree.first[n], tree.last[n]) for n in leaves])
                 scores = tree.vectors[rows] @ queries[q]
                 good = (scores >= worst) & (tree.ids[rows] != ids[q])

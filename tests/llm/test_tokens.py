@@ -242,6 +242,18 @@ def test_tree_boxes_are_tight():
             assert (tree.first[tree.left[k]], tree.last[tree.left[k]], tree.last[tree.right[k]]) == (tree.first[k], tree.first[tree.right[k]], tree.last[k])
 
 
+def test_bounds_from_elsewhere_prune_whole_trees():
+    random_ = np.random.default_rng(4)
+    v = np.floor(64 * random_.standard_normal((300, 5)))
+    tree, q = S.build(np.arange(300), v, 8), np.floor(64 * random_.standard_normal((1, 5)))
+    scores = v @ q[0]
+    allowed = (np.maximum(q, 0) @ tree.high[0] + np.minimum(q, 0) @ tree.low[0]).item()
+    for bound in (*np.quantile(scores, [0, 0.5, 0.9, 1]), scores.max() + 1, *np.linspace(scores.max(), allowed, 9), allowed + 1):
+        _, ids, found = S.search(tree, np.array([-1]), q, np.array([bound]), 4)
+        want = sorted((-s, i) for i, s in enumerate(scores) if s >= bound)[:4]
+        assert [(-s, i) for s, i in zip(found, ids)] == want
+
+
 def test_schedule_is_that_of_a_heap():
     random_ = np.random.default_rng(1)
     for sizes in (random_.integers(1, 50, 3000), np.append(random_.integers(1, 2000, 300), 100_000), random_.zipf(1.5, 1000) % 9000 + 1, np.full(17, 3), np.array([5])):
