@@ -3,10 +3,14 @@
 1. Vectors with the same label and the same components form a class; one vector stands for it.
 2. Each pass orders the vectors of a label by the concatenated signs of random projections and compares
    each one with the WINDOW vectors after it, across the borders of partitions too. The number of
-   passes follows from the largest label: a pair at the threshold stays unseen with probability `miss`.
-   Only what is verified in double precision links, and a partition reports its links as a forest.
-3. Components by alternating large-star and small-star.
-4. Windows see a few partners of each vector only, so the links are counted anew, whole: inside each component
+   passes follows from the largest label: where its vectors point in all directions, a pair at the threshold stays
+   unseen with probability `miss`. Only what is verified in double precision links, and a partition reports its
+   links as a forest.
+3. Each pass tells from the sorted codes how many signs a vector must share with another before the window holds
+   all that share them. Vectors for which this leaves a partner at the threshold unseen with more than `miss` (many of
+   a label in one cone, or near the borders of partitions too often) meet all others of that kind in blocks.
+4. Components by alternating large-star and small-star.
+5. Windows see a few partners of each vector only, so the links are counted anew, whole: inside each component
    all its vectors meet in blocks, and only counts leave a block.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without
@@ -56,7 +60,7 @@ def unit(column: pa.Array, size: int) -> np.ndarray:
 
 
 def projected(passes: int, seed: int):
-    """(class_id, label, size, vector) to a row for each pass, with the signs as one number."""
+    """(class_id, label, size, vector, most) to a row for each pass, with the signs as one number."""
 
     def project(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -70,7 +74,7 @@ def projected(passes: int, seed: int):
                     if (size, number) not in planes:
                         planes[size, number] = np.random.Generator(np.random.PCG64([seed, int(size), number])).standard_normal((int(size), BITS))
                     code = ((v @ planes[size, number]) > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), number, np.int32)), *own.columns[1:3], pa.array(code), own.column(0), own.column(3)], ["pass", "label", "size", "code", "class_id", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), number, np.int32)), *own.columns[1:3], pa.array(code), own.column(0), own.column(3), own.column(4)], ["pass", "label", "size", "code", "class_id", "vector", "most"])
 
     return project
 
@@ -107,9 +111,30 @@ def window_links(v: np.ndarray, window: int, threshold: float, reach: int | None
     return np.concatenate([none, *ones]), np.concatenate([none, *twos])
 
 
-#: a, b: a link; part, side, place and the rest: a vector near a border (side 0 first, 1 last).
-FOUND = "a long, b long, part long, side int, place int, pass int, label long, size int, class_id long, vector binary"
-FOUND_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int64()), ("side", pa.int32()), ("place", pa.int32()), ("pass", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("class_id", pa.int64()), ("vector", pa.binary())])
+#: Signs beyond log2(vectors of the label / window) that a pass may need and still count: in a cone most signs part
+#: nobody, and those that do part its close pairs more often than the formula has it.
+SPARE = 2
+
+
+def depths(group: np.ndarray, code: np.ndarray, window: int) -> np.ndarray:
+    """Signs that each vector must share with another, so that all that share them are at most `window` places away.
+
+    group: numbers that rise where a pass, label or size ends; codes are in order inside a group. BITS + 1: even the
+    whole code does not do, or the group may go on before the first or after the last row."""
+    far, n = window + 1, len(code)
+    before, after = np.where(group == group[:1], BITS, -1), np.where(group == group[-1:], BITS, -1)
+    if n > far:
+        odd = code[far:] ^ code[:-far]
+        high = odd >> np.int64(31)
+        length = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 31, np.frexp((odd & np.int64((1 << 31) - 1)).astype(np.float64))[1])
+        shared = np.where(group[far:] == group[:-far], BITS - length, -1)
+        before[far:], after[:-far] = shared, shared
+    return np.maximum(before, after) + 1
+
+
+#: a, b: a link; seen, unseen: a vector and the logarithm of the probability that a pass leaves a partner of it unseen; part, side, place and the rest: a vector near a border (side 0 first, 1 last).
+FOUND = "a long, b long, seen long, unseen double, part long, side int, place int, pass int, label long, size int, class_id long, vector binary"
+FOUND_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("seen", pa.int64()), ("unseen", pa.float64()), ("part", pa.int64()), ("side", pa.int32()), ("place", pa.int32()), ("pass", pa.int32()), ("label", pa.int64()), ("size", pa.int32()), ("class_id", pa.int64()), ("vector", pa.binary())])
 
 
 def _rows(n: int, **columns) -> pa.RecordBatch:
@@ -117,7 +142,8 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
 
 
 def compare(window: int, threshold: float):
-    """Sorted rows of a partition to links and to the vectors near its borders."""
+    """Sorted rows of a partition to links, to what the windows leave unseen and to the vectors near its borders."""
+    far, same = window + 1, 1 - np.arccos(threshold) / np.pi
 
     def links_of(held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = held["class_id"].to_numpy()
@@ -135,6 +161,14 @@ def compare(window: int, threshold: float):
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *a]), np.concatenate([none, *b])
 
+    def unseen_of(held: pa.Table, first: int, last: int) -> pa.RecordBatch:
+        names = np.column_stack([held["pass"].to_numpy(), held["label"].to_numpy(), held["size"].to_numpy()])
+        group = np.concatenate([[0], np.cumsum((names[1:] != names[:-1]).any(1))])
+        need = depths(group, held["code"].to_numpy(), window)[first:last]
+        counts = need <= np.minimum(held["most"].to_numpy()[first:last], BITS)
+        ids, unseen = held["class_id"].to_numpy()[first:last][counts], np.log1p(-np.minimum(1 - 1e-9, same ** need[counts]))
+        return _rows(len(ids), seen=pa.array(ids), unseen=pa.array(unseen))
+
     def border(held: pa.Table, part: int, side: int) -> pa.RecordBatch:
         n = held.num_rows
         own = {name: held[name].combine_chunks() for name in ("pass", "label", "size", "class_id", "vector")}
@@ -144,9 +178,15 @@ def compare(window: int, threshold: float):
         from pyspark import TaskContext
 
         part, tail = TaskContext.get().partitionId(), None
+        codes, told = None, 0  # rows of which `told` have been dealt with; the others wait for those after them
         for batch in rows:
             if not batch.num_rows:
                 continue
+            own = pa.Table.from_batches([batch]).select(["pass", "label", "size", "code", "class_id", "most"])
+            codes = own if codes is None else pa.concat_tables([codes, own])
+            if (last := codes.num_rows - far) > told:
+                yield unseen_of(codes, told, last)
+                codes, told = codes.slice(max(0, last - far)), min(last, far)
             held = pa.Table.from_batches([batch])
             if tail is None:
                 yield border(held.slice(0, window), part, 0)
@@ -156,6 +196,7 @@ def compare(window: int, threshold: float):
             yield _rows(len(a), a=pa.array(a), b=pa.array(b))
             tail = held.slice(max(0, held.num_rows - window))
         if tail is not None:
+            yield unseen_of(codes, told, codes.num_rows)
             yield border(tail, part, 1)
 
     return run
@@ -182,6 +223,27 @@ def across(window: int, threshold: float):
     return run
 
 
+def in_blocks(tell, names: list[str]):
+    """Rows sorted by names to what `tell` makes of the rows of each key."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            key = np.column_stack([held[c].to_numpy() for c in names])
+            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+            for first, last in zip(cut[:-1], cut[1:]):
+                yield tell(held.slice(first, last - first))
+            held = held.slice(cut[-1])
+        if held is not None and held.num_rows:
+            yield tell(held)
+
+    return run
+
+
 def count_links(threshold: float):
     """Rows sorted by (component, low, high) to (class_id, links) summed over each block pair."""
 
@@ -202,29 +264,37 @@ def count_links(threshold: float):
             links[x], links[y] = near @ weight[y], near.T @ weight[x]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64))], ["class_id", "links"])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            key = np.column_stack([held[c].to_numpy() for c in ("component", "low", "high")])
-            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
-            for first, last in zip(cut[:-1], cut[1:]):
-                yield tell(held.slice(first, last - first))
-            held = held.slice(cut[-1])
-        if held is not None and held.num_rows:
-            yield tell(held)
+    return in_blocks(tell, ["component", "low", "high"])
 
-    return run
+
+def block_links(threshold: float):
+    """Rows sorted by (label, size, low, high) to the links (a, b) of each block pair, as a forest."""
+
+    def tell(held: pa.Table) -> pa.RecordBatch:
+        ids, block = held["class_id"].to_numpy(), held["block"].to_numpy()
+        v = unit(held["vector"], held["size"][0].as_py())
+        x, y = np.flatnonzero(block == held["low"][0].as_py()), np.flatnonzero(block == held["high"][0].as_py())
+        one, two = np.nonzero(v[x] @ v[y].T >= threshold)
+        low = _forest(len(ids), x[one], y[two])
+        linked = np.flatnonzero(low != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[low[linked]])], ["a", "b"])
+
+    return in_blocks(tell, ["label", "size", "low", "high"])
+
+
+def block_pairs(rows: DataFrame, n: str) -> DataFrame:
+    """Each row once for each pair (low, high) of blocks that its block is in; n: rows that meet."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(n) / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
 
 def passes_needed(largest: int, threshold: float, window: int, miss: float) -> int:
     """Passes after which a pair at the threshold has been missed with probability `miss` at most,
-    if a window holds the vectors that share log2(largest / window) signs."""
+    if a window holds the vectors that share log2(largest / window) + 1 signs: one for buckets that halves leave too large."""
     same = 1 - np.arccos(threshold) / np.pi
-    hit = min(1 - 1e-9, same ** max(0.0, np.log2(max(largest, 1) / window)))
+    hit = min(1 - 1e-9, same ** max(0.0, np.log2(2 * max(largest, 1) / window)))
     return max(4, int(np.ceil(np.log(miss) / np.log(1 - hit))))
 
 
@@ -235,24 +305,32 @@ def near_duplicates(embeddings: DataFrame, scratch: Scratch, threshold: float =
     usable = scratch.write(usable, "vectors")
     classes = usable.groupBy("label", "size", "vector").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
     classes = scratch.write(classes, "classes")
-    largest = classes.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
-    dealt = in_arrow(classes.select("class_id", "label", "size", "vector"), projected(passes_needed(largest, threshold, window, miss), seed), "pass int, label long, size int, code long, class_id long, vector binary")
+    crowds = scratch.write(classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "crowds")
+    largest = crowds.agg(F.max("crowd")).first()[0] or 0
+    met = classes.join(crowds, ["label", "size"])
+    most = F.ceil(F.log2(F.greatest(F.col("crowd") / window, F.lit(1.0)))).cast("int") + SPARE
+    dealt = in_arrow(met.select("class_id", "label", "size", "vector", most.alias("most")), projected(passes_needed(largest, threshold, window, miss), seed), "pass int, label long, size int, code long, class_id long, vector binary, most int")
     order = ["pass", "label", "size", "code", "class_id"]
     parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = scratch.write(in_arrow(dealt.select("pass", "label", "size", "class_id", "vector"), compare(window, threshold), FOUND), "found")
+    found = scratch.write(in_arrow(dealt.select("pass", "label", "size", "code", "class_id", "vector", "most"), compare(window, threshold), FOUND), "found")
     near = found.filter("part is not null").withColumn("border", F.col("part") + F.col("side"))
     between = near.groupBy("border").applyInArrow(across(window, threshold), "a long, b long")
     links = found.filter("a is not null").select("a", "b").union(between)
+    unseen = found.filter("seen is not null").groupBy(F.col("seen").alias("class_id")).agg(F.sum("unseen").alias("unseen"))
+    hidden = met.join(unseen, "class_id", "left").filter(F.coalesce("unseen", F.lit(0.0)) > float(np.log(miss)))
+    hidden = scratch.write(hidden.select("class_id", "label", "size", "vector"), "hidden")
+    meet = block_pairs(hidden.join(hidden.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["label", "size"]), "n")
+    key = ["label", "size", "low", "high"]
+    meet = meet.select(*key, "block", "class_id", "vector").repartition(*key).sortWithinPartitions(*key)
+    links = links.union(in_arrow(meet, block_links(threshold), "a long, b long"))
     groups = scratch.write(components(links, scratch), "groups")
     scratch.drop(found)
 
     members = classes.join(groups.withColumnRenamed("id", "class_id"), "class_id")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class_id", "weight", "size", "vector")
+    members = block_pairs(members.join(sizes, "component"), "n")
+    members = members.select("component", "low", "high", "block", "class_id", "weight", "size", "vector")
     key = ["component", "low", "high"]
     counted = in_arrow(members.repartition(*key).sortWithinPartitions(*key), count_links(threshold), "class_id long, links long")
     counted = counted.groupBy("class_id").agg(F.sum("links").alias("links"))

@@ -127,3 +127,25 @@ def test_embeddings_are_brute_force(spark, with_clashes, monkeypatch):
 
 def test_more_passes_for_more_vectors():
     assert V.passes_needed(10, 0.93, 64, 1e-6) == 4 and V.passes_needed(10**4, 0.93, 64, 1e-6) < V.passes_needed(10**8, 0.93, 64, 1e-6)
+
+
+def test_embeddings_of_one_cone_are_brute_force(spark):
+    random_ = np.random.default_rng(8)
+    centre, near = random_.standard_normal(32), lambda v, part: v + part * np.linalg.norm(v) / np.sqrt(len(v)) * random_.standard_normal(len(v))
+    own = [near(centre, 0.45) for _ in range(1500)]  # mutual cosine about 0.83
+    own += [near(v, 0.36) for v in own[:300]]  # about 0.94
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(own)]
+    told = V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4), Scratch(spark, "test"), window=16).collect()
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in told} == brute_vectors(rows, 0.93)
+
+
+def test_depths_are_those_of_whole_buckets():
+    random_ = np.random.default_rng(9)
+    code = np.sort(np.concatenate([random_.integers(0, 1 << 62, 300), random_.integers(0, 1 << 40, 90), np.full(12, 77)]))
+    group, window = np.repeat([0, 1, 2], [1, len(code), 1]), 8
+    told = V.depths(group, np.concatenate([[5], code, [5]]), window)
+    assert told[0] == told[-1] == V.BITS + 1  # what lies before and after is not known
+    for k, x in enumerate(code):
+        shared = np.array([V.BITS - (int(x) ^ int(y)).bit_length() for y in code])
+        fits = [d for d in range(V.BITS + 1) if np.abs(np.flatnonzero(shared >= d) - k).max() <= window]
+        assert told[k + 1] == (fits[0] if fits else V.BITS + 1)
