@@ -2,7 +2,7 @@
 
 1. A character trigram model counts the letters of all texts (at most 61**3 counts).
 2. Each word that the channel may have changed (letters written as digits or signs, letters set apart by
-   spaces or signs, letters repeated) is a lattice of intended letters. A Viterbi search takes the
+   white space or signs, letters repeated; numbers are none) is a lattice of intended letters. A Viterbi search takes the
    path that the channel and the character model together find likeliest. Plain words have one
    path only and stay.
 3. Words and their beginnings get weights, the log odds of toxic against other documents, lowered by
@@ -88,7 +88,12 @@ def letter_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 _PLAIN = re.compile(r"(?:([^\W\d_])(?!\1))+")
 _LETTER = re.compile(r"[^\W\d_]")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_SIGN = re.compile("[" + re.escape("".join(k for k in LEET if not k.isdigit())) + "]")
+_BLANK = re.compile(r"\s")
+#: Single characters parted by white space, between brackets, quotes or punctuation.
+_SPACED = re.compile(r"(?<!\S)[\"'(\[{<«“‘¡¿*_~]*(\S(?:\s+\S){2,})(?=[.,;:!?\"')\]}>»”’…*_~]*(?!\S))")
+#: The least letters of a word inside a spelled-out run, and of one written with signs and digits only.
+LEAST_LETTERS = 3
 
 
 class Restorer:
@@ -133,16 +138,19 @@ class Restorer:
         return min(((cost + costs[a][b][0], text) for (a, b), (cost, text) in paths.items()))[1]
 
     def forms(self, token: str) -> tuple[str, ...]:
-        """The word itself and, where it differs, the restored one; a token with spaces was spelled out."""
-        if " " in token:
-            meant = self.decode(token.lower())
-            return tuple(meant[k:] for k in range(len(meant) - 3))
+        """The word itself and, where it differs, the restored one; a token with white space was spelled out."""
+        if _BLANK.search(token):
+            meant = self.decode(" ".join(token.lower().split()))
+            return tuple(meant[k:] for k in range(max(1, len(meant) - LEAST_LETTERS + 1))) if meant else ()
         word = token.strip(EDGES).lower()
         if _PLAIN.fullmatch(word):
             if word == token.lower().rstrip(EDGES):
                 return (word,)
         elif not _LETTER.search(word):
-            return (word,) if word else ()
+            if not _SIGN.search(word):  # a number
+                return (word,) if word else ()
+            meant = self.decode(word)
+            return (word, meant) if len(meant) >= LEAST_LETTERS else (word,)
         meant = self.decode(token.rstrip(".,;:?\"')]}>").lower())
         return (word, meant) if meant != word and meant else (word,)
 
@@ -153,7 +161,7 @@ def _symbol(letter: str) -> int:
 
 
 def tokens(text: str) -> list[str]:
-    return [*text.split(), *(m[0] for m in _SPACED.finditer(text))]
+    return [*text.split(), *(m[1] for m in _SPACED.finditer(text))]
 
 
 def features(form: str) -> list[str]:
@@ -263,8 +271,8 @@ class ToxicityModel:
                 if value:
                     hits[word.strip(EDGES).lower()] = value
             for m in _SPACED.finditer(text):
-                if (value := token_weight(m[0])):
-                    hits[m[0]] = value
+                if (value := token_weight(m[1])):
+                    hits[m[1]] = value
             z = float(np.dot(strengths(list(hits.values()), len(words)), self.weights[:-1]) + self.weights[-1])
             return 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
 

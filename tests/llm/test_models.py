@@ -173,6 +173,18 @@ def test_restored_words(spark):
     assert r.forms("Idea,") == ("idea",) and r.forms("...") == () and r.forms("2024") == ("2024",)
 
 
+def test_spelled_out_words_end_anywhere(spark):
+    docs = spark.createDataFrame([("idiot moron trash scum die ass the idea of a video is not a bother " * 20,)], "text string")
+    r = T.Restorer(T.letter_model(docs))
+
+    def meant(text):
+        return {f for token in T.tokens(text) for f in r.forms(token)}
+
+    for text, word in (("you s c u m. Go", "scum"), ("s c u m, you", "scum"), ("now d i e!", "die"), ("d i e", "die"), ("(s c u m)", "scum"), ("m\to\tr\to\tn", "moron"), ("m  o   r\no n.", "moron"), ("you are s c u m", "scum"), ("you @$$ there", "ass"), ("an @55.", "ass")):
+        assert word in meant(text), text
+    assert meant("2024 1,000 ... -") == {"2024", "1,000"} and meant("a b") == {"a", "b"} and meant("- - -") == set()
+
+
 def test_statistics_batches_accept_null_columns():
     batch = pa.RecordBatch.from_arrays([pa.array([None, None], pa.string())], ["text"])
     assert L.predict(batch.column(0), L.freeze({}))[0].tolist() == ["und", "und"]
