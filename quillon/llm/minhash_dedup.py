@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, components, in_arrow, mix, runs, slices, span_hashes, utf8
+from .common import IS_SPACE, Scratch, components, fresh, in_arrow, mix, runs, slices, span_hashes, utf8
 
 PERMUTATIONS, ROWS, BANDS = 252, 6, 42
 #: Longs of the compact signature: 16 minima of 4 bits in each.
@@ -142,6 +142,12 @@ def different(a: str, b: str):
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each input row: doc_id, n_shingles, class_id (smallest id with the same words),
     component_id (smallest id reachable by links), kept. Links: 100 * intersection >= percent * union."""
+    return grouped(docs, width, percent, doc_id, text).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same with key1 and key2 of the row's word sequence, and its component (null for an empty set or a null id):
+    ids with several texts may give their id to several components."""
     if percent < 80:
         raise ValueError("the bands are made for a similarity of 0.8 or more")
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -199,10 +205,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     # From nodes to ids: the smallest id of all classes in the component.
     node = first.select("key1", "key2", "node", F.col("doc_id").alias("class_id")).join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = node.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    node = node.join(least, "component").select("key1", "key2", "class_id", "component_id")
+    node = node.join(least, "component").select("key1", "key2", "class_id", "component_id", "component")
     told = member.join(node, ["key1", "key2"])
-    rest = signed.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    told = told.select("doc_id", "n_shingles", "class_id", "component_id").union(rest)
+    rest = signed.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), "key1", "key2", F.lit(None).cast("long").alias("component"))
+    told = told.select("doc_id", "n_shingles", "class_id", "component_id", "key1", "key2", "component").union(rest)
     return told.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -294,8 +300,42 @@ def dedup_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def word_keys(position: int, names: list[str]):
+    """Appends the keys of the word sequence and whether there are words."""
+
+    def tell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            raw, offsets, _ = utf8(batch.column(position))
+            for first, last in slices(offsets):
+                _, at, one, two = shingle_rows(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], 1)
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(at) > 0)], [*own.schema.names, *names])
+
+    return tell
+
+
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group (five words, 0.8) stays: the smallest id; all columns stay."""
-    told = near_duplicates(docs)
-    gone = told.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
+    """One document of each near-duplicate group (five words, 0.8) stays: the smallest id; all columns stay.
+
+    Ids that stand for one row go or stay by id. Rows of other ids go or stay by id and text, one row of each that
+    stays. Rows without an id take part under an id made of their text; those without words all stay."""
+    id_, one, two, words = (fresh(docs.columns, f"{x}_of_row") for x in ("id", "one", "two", "words"))
+    # Over 2**62, so that usual ids come first; one that meets another id is a repeated id like any.
+    own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62))))
+    scratch = Scratch(docs.sparkSession, "minhash-stage")
+    told = scratch.write(grouped(own, doc_id=id_), "told")
+    repeated = scratch.write(told.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_)), "repeated")
+    gone = told.filter(~F.col("kept")).select(F.col("doc_id").alias(id_)).union(repeated).distinct()
+    out = own.join(gone, id_, "left_anti").select(docs.columns)
+    if not repeated.limit(1).count():
+        return out
+    several = own.join(repeated, id_, "left_semi")
+    schema = several.select("*", F.lit(0).cast("long").alias(one), F.lit(0).cast("long").alias(two), F.lit(True).alias(words)).schema
+    several = in_arrow(several, word_keys(several.columns.index("text"), [one, two, words]), schema)
+    # Of each component whose smallest id is repeated, the smallest text of that id; wordless texts are their own.
+    told = told.join(repeated.withColumnRenamed(id_, "doc_id"), "doc_id", "left_semi").filter("kept")
+    stay = told.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key1", "key2")).alias("x")).select("x.*")
+    stay = stay.union(told.filter("component is null").select("doc_id", "key1", "key2").distinct()).toDF(id_, one, two)
+    nameless = several.filter(F.col("doc_id").isNull() & ~F.col(words)).select(docs.columns)
+    several = several.filter(F.col("doc_id").isNotNull() | F.col(words)).join(stay, [id_, one, two], "left_semi").dropDuplicates([id_, one, two])
+    return out.union(several.select(docs.columns)).union(nameless)

@@ -77,6 +77,18 @@ def test_minhash_stage_keeps_one_of_each_group(spark, copies, with_clashes):
     assert M.dedup_query(docs.filter("doc_id = 3")).collect()[0]["kept"]
 
 
+def test_minhash_stage_keeps_one_row_of_each_group(spark, prose_of, with_clashes):
+    r = random.Random(23)
+    a, b, c, d, e, f = (prose_of(r, "aa", 60) for _ in range(6))
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, c), (4, c), (4, c.upper()), (5, d), (None, d), (None, e), (None, e), (None, e + " more"), (6, f), (6, f + " more"), (7, ""), (7, ""), (None, ""), (None, None)]
+    docs = with_clashes(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
+    kept = M.dedup_stage(docs)
+    assert kept.columns == docs.columns
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    one_of = [{(1, a)}, {(2, b)}, {(4, c), (4, c.upper())}, {(5, d)}, {(None, e), (None, e + " more")}, {(6, f), (6, f + " more")}, {(7, "")}, {(None, "")}, {(None, None)}]
+    assert len(got) == len(one_of) and all(sum(x in group for x in got) == 1 for group in one_of)
+
+
 def test_signatures_do_not_depend_on_blocks():
     random_ = np.random.default_rng(1)
     values, offsets = random_.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([0, 0, 3, 200, 200, 500])
