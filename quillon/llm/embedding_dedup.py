@@ -298,6 +298,11 @@ def passes_needed(largest: int, threshold: float, window: int, miss: float) -> i
     return max(4, int(np.ceil(np.log(miss) / np.log(1 - hit))))
 
 
+def partitions(rows: int, window: int, most: int) -> int:
+    """At most `most`, and so few that each of them holds several windows."""
+    return max(1, min(most, rows // (8 * window)))
+
+
 def near_duplicates(embeddings: DataFrame, scratch: Scratch, threshold: float = 0.93, window: int = WINDOW, miss: float = 1e-6, seed: int = 11) -> DataFrame:
     """A row for each row of embeddings (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     source = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -306,12 +311,13 @@ def near_duplicates(embeddings: DataFrame, scratch: Scratch, threshold: float =
     classes = usable.groupBy("label", "size", "vector").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
     classes = scratch.write(classes, "classes")
     crowds = scratch.write(classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "crowds")
-    largest = crowds.agg(F.max("crowd")).first()[0] or 0
+    largest, crowded = (x or 0 for x in crowds.agg(F.max("crowd"), F.sum("crowd")).first())
+    passes = passes_needed(largest, threshold, window, miss)
     met = classes.join(crowds, ["label", "size"])
     most = F.ceil(F.log2(F.greatest(F.col("crowd") / window, F.lit(1.0)))).cast("int") + SPARE
-    dealt = in_arrow(met.select("class_id", "label", "size", "vector", most.alias("most")), projected(passes_needed(largest, threshold, window, miss), seed), "pass int, label long, size int, code long, class_id long, vector binary, most int")
+    dealt = in_arrow(met.select("class_id", "label", "size", "vector", most.alias("most")), projected(passes, seed), "pass int, label long, size int, code long, class_id long, vector binary, most int")
     order = ["pass", "label", "size", "code", "class_id"]
-    parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = partitions(crowded * passes, window, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = scratch.write(in_arrow(dealt.select("pass", "label", "size", "code", "class_id", "vector", "most"), compare(window, threshold), FOUND), "found")
     near = found.filter("part is not null").withColumn("border", F.col("part") + F.col("side"))

@@ -161,3 +161,7 @@ def test_depths_are_those_of_whole_buckets():
         shared = np.array([V.BITS - (int(x) ^ int(y)).bit_length() for y in code])
         fits = [d for d in range(V.BITS + 1) if np.abs(np.flatnonzero(shared >= d) - k).max() <= window]
         assert told[k + 1] == (fits[0] if fits else V.BITS + 1)
+
+
+def test_partitions_hold_several_windows():
+    assert V.partitions(625 * 4, 64, 200) == 4 and V.partitions(0, 64, 200) == 1 and V.partitions(10**8, 64, 200) == 200
