@@ -8,8 +8,9 @@ bytes. The trees are frozen after counting. A text's code length under each lang
 the language with the shortest one is predicted.
 
 Counting is distributed over all training rows: 4-byte grams by language, summed before and after one
-shuffle. The driver gets at most `max_grams` of them for each language (the most frequent,
-cut at a power of two); the frozen tables are as large at any input size.
+shuffle. The driver gets all of them, so that totals and escapes are those of all rows; their number grows
+slowly with the input. Only where `max_grams` is given are there at most as many for each language (the most frequent,
+cut at a power of two).
 
 Defined results: null or letterless texts give `und` with score 0.0; repeated rows are scored
 each; with no training row every text is `und`; ties go to the smaller language name. Other columns,
@@ -214,15 +215,15 @@ def count_grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = 1 << 21) -> ContextTrees:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None) -> ContextTrees:
     """Counts every row of docs with text and language and freezes the trees.
 
-    max_grams: most grams kept of a language, which bounds the driver's memory.
+    max_grams: most grams kept of a language, which bounds the driver's memory; None: all.
     """
     counted = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     counted = in_arrow(counted, count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     steps: dict[str, dict[int, int]] = {}
-    for name, step, n in counted.groupBy("lang", F.floor(F.log2("n")).alias("step")).count().collect():
+    for name, step, n in [] if max_grams is None else counted.groupBy("lang", F.floor(F.log2("n")).alias("step")).count().collect():
         steps.setdefault(name, {})[step] = n
     least = {}
     for name, by in steps.items():

@@ -138,6 +138,14 @@ def test_statistics_of_a_text():
 BAD = "zonkface grubling fumewit".split()
 
 
+def test_all_grams_of_a_large_language_count(spark):
+    text = "".join(map(chr, np.random.default_rng(4).integers(0x590, 0x7FF, 1_500_000))) + "".join(map(chr, np.random.default_rng(5).integers(0xE0, 0x590, 2_500_000)))
+    raw = np.frombuffer(L.lowered(pa.array([text]))[0].as_py().encode(), np.uint8)
+    every = np.unique(L.grams(raw, np.array([0, len(raw)])))
+    assert len(every) > 1 << 21
+    assert len(L.train(spark.createDataFrame([("aa", text)], "lang string, text string")).known[0]) == len(every)
+
+
 def toxic_rows(r, prose_of, n):
     rows, labels = [], []
     for k in range(n):
