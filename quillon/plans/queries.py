@@ -140,6 +140,11 @@ for name, how in (("left", "left"), ("right", "right"), ("full", "full")):
     query(f"join_{name}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c {how.upper()} JOIN {_BIG} o ON c_custkey = o_custkey")(
         lambda t, how=how: R.join(t.customer.filter("c_custkey % 2 = 0"), t.orders.filter("o_orderkey % 5 = 0"), on_customer(), how).select("c_custkey", "o_orderkey")
     )
+# Whole tables: nations whose key is over 6 or 0, and orders without a key, are unmatched.
+for name in ("left", "right", "full"):
+    query(f"join_{name}_whole", f"SELECT n_nationkey, o_orderkey FROM nation {name.upper()} JOIN ({_NULLS}) x ON n_nationkey = x.a")(
+        lambda t, how=name: R.join(t.nation, with_nulls(t), c("n_nationkey") == c("a"), how).select("n_nationkey", "o_orderkey")
+    )
 query("join_self", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")(
     lambda t: R.join(t.supplier.alias("a"), t.supplier.alias("b"), (c("a.s_nationkey") == c("b.s_nationkey")) & (c("a.s_suppkey") < c("b.s_suppkey"))).select(c("a.s_suppkey").alias("x"), c("b.s_suppkey").alias("y"))
 )

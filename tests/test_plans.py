@@ -151,3 +151,16 @@ def test_store_and_statements(spark, tmp_path):
 def test_formatting(spark):
     told = formatted(spark.createDataFrame([(1, "a"), (None, None)], "n long, s string"))
     assert told.splitlines() == ["n          s", '1          "a"', "NULL(int)  NULL(string)", "(2 rows)"]
+
+
+def test_whole_outer_joins_have_unmatched_rows(spark):
+    import __spark_entry__
+
+    sf_dir = "/root/testdata/sf0.01"
+    for name in ("nation", "orders"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    for how in ("left", "right", "full"):
+        name = f"join_{how}_whole"
+        got = sorted(map(tuple, __spark_entry__.queries()[name](spark, sf_dir).collect()), key=str)
+        assert got == sorted(map(tuple, spark.sql(__spark_entry__.oracle_sql()[name]).collect()), key=str)
+        assert any(x[1] is None for x in got) == (how != "right") and any(x[0] is None for x in got) == (how != "left")
