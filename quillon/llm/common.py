@@ -54,9 +54,21 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(application)
 
 
+#: Most bytes of an Arrow batch on its way to or from Python; one row may be larger.
+ARROW_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package and bounds the session's Arrow batches by bytes, whatever the length of the texts."""
+    ship(spark)
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if now is None or not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """df.mapInArrow with this package at hand on the executors."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
@@ -69,7 +81,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        ship(spark)
+        prepare(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
@@ -205,6 +217,56 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 # ------------------------------------------------------------- distributed steps
 
 
+def forest(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The smallest position that links lead to, for each of n positions."""
+    root = np.arange(n)
+    while len(one):
+        low = np.minimum(root[one], root[two])
+        np.minimum.at(root, root[one], low)
+        np.minimum.at(root, root[two], low)
+        while (root[root] != root).any():
+            root = root[root]
+        on = root[one] != root[two]
+        one, two = one[on], two[on]
+    return root
+
+
+def in_blocks(tell: Callable, names: list[str], together: int = 8192) -> Callable:
+    """Rows sorted by names to what `tell` makes of the rows of each key; its results leave in batches."""
+
+    def told(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[pa.Table] = []  # parts of the last key met
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            key = np.column_stack([now[c].to_numpy() for c in names])
+            if held and any(held[-1][c][-1].as_py() != now[c][0].as_py() for c in names):
+                yield tell(pa.concat_tables(held))
+                held = []
+            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+            for first, last in zip(cut[:-1], cut[1:]):
+                yield tell(pa.concat_tables([*held, now.slice(first, last - first)]))
+                held = []
+            held.append(now.slice(cut[-1]))
+        if held:
+            yield tell(pa.concat_tables(held))
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        out, size = [], 0
+        for batch in told(rows):
+            if batch.num_rows:
+                out.append(batch)
+                size += batch.num_rows
+            if size >= together:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, size = [], 0
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return run
+
+
 def global_index(df: DataFrame, order: list[Column], name: str, scratch: Scratch) -> DataFrame:
     """Adds the position (from 0) in the order given, without one task that sees all rows.
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, in_arrow
+from .common import Scratch, components, forest, in_arrow, in_blocks
 
 WINDOW, BITS, BLOCK = 64, 62, 1024
 
@@ -79,20 +79,6 @@ def projected(passes: int, seed: int):
     return project
 
 
-def _forest(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The smallest position that links lead to, for each of n positions."""
-    root = np.arange(n)
-    while len(one):
-        low = np.minimum(root[one], root[two])
-        np.minimum.at(root, root[one], low)
-        np.minimum.at(root, root[two], low)
-        while (root[root] != root).any():
-            root = root[root]
-        on = root[one] != root[two]
-        one, two = one[on], two[on]
-    return root
-
-
 def window_links(v: np.ndarray, window: int, threshold: float, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions at most `window` apart whose cosine meets the threshold; reach: only across that position."""
     ones, twos = [], []
@@ -154,7 +140,7 @@ def compare(window: int, threshold: float):
             if last - first > 1:
                 v = unit(held["vector"].slice(first, last - first), int(group[first, 2]))
                 one, two = window_links(v, window, threshold)
-                low = _forest(last - first, one, two)
+                low = forest(last - first, one, two)
                 linked = np.flatnonzero(low != np.arange(last - first))
                 a.append(ids[first + linked])
                 b.append(ids[first + low[linked]])
@@ -223,27 +209,6 @@ def across(window: int, threshold: float):
     return run
 
 
-def in_blocks(tell, names: list[str]):
-    """Rows sorted by names to what `tell` makes of the rows of each key."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            key = np.column_stack([held[c].to_numpy() for c in names])
-            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
-            for first, last in zip(cut[:-1], cut[1:]):
-                yield tell(held.slice(first, last - first))
-            held = held.slice(cut[-1])
-        if held is not None and held.num_rows:
-            yield tell(held)
-
-    return run
-
-
 def count_links(threshold: float):
     """Rows sorted by (component, low, high) to (class_id, links) summed over each block pair."""
 
@@ -275,7 +240,7 @@ def block_links(threshold: float):
         v = unit(held["vector"], held["size"][0].as_py())
         x, y = np.flatnonzero(block == held["low"][0].as_py()), np.flatnonzero(block == held["high"][0].as_py())
         one, two = np.nonzero(v[x] @ v[y].T >= threshold)
-        low = _forest(len(ids), x[one], y[two])
+        low = forest(len(ids), x[one], y[two])
         linked = np.flatnonzero(low != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[low[linked]])], ["a", "b"])
 

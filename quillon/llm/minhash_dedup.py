@@ -5,12 +5,15 @@
    Documents with equal word sequences form a class; the smallest id stands for it from here on.
 2. Banding: BANDS bands of ROWS minima. A pair at the threshold of 0.8 shares no band with a probability
    of (1 - 0.8**6)**42 = 3e-6. Within a bucket nothing is paired off: first each document meets only the leads (first nodes) of
-   the buckets that it shares most bands with, and verified links are merged to components. Where a bucket still
-   holds several components, its documents meet others at random for a few rounds. At last documents of one bucket
-   meet wherever their components still differ, their sizes allow the threshold and a compact signature
-   (4 bits of each minimum) does not rule it out.
-3. Verification counts the intersection of the whole sets of 64-bit shingle hashes.
-4. Components by alternating large-star and small-star.
+   the buckets that it shares most bands with, and verified links are merged to components. What is left are the buckets
+   that hold several components. Where these are so large that comparing them would multiply their rows, their
+   documents meet others at random for a few rounds first.
+3. At last all documents of such a bucket meet in blocks of bounded size, wherever their components still
+   differ. One task holds a pair of blocks; blocks of one large component do not meet. Two passes: the first
+   finds the documents with a partner that sizes and a compact signature (4 bits of each minimum) allow, each pair in the first
+   band that it shares; the second has the whole sets of those and returns at most a link for each document of a block.
+4. Verification counts the intersection of the whole sets of 64-bit shingle hashes.
+5. Components by alternating large-star and small-star.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer words
 than a shingle make one shingle. Rows with a null id stand alone (component_id null,
@@ -27,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, components, fresh, in_arrow, mix, runs, slices, span_hashes, utf8
+from .common import IS_SPACE, Scratch, components, forest, fresh, in_arrow, in_blocks, mix, runs, slices, span_hashes, utf8
 
 PERMUTATIONS, ROWS, BANDS = 252, 6, 42
 #: Longs of the compact signature: 16 minima of 4 bits in each.
 PACKED = 16
 #: Compact signatures of a pair at similarity 0.8 differ in 18.75 % of 252 places, 47; this is 4.4 standard deviations more.
 MOST_DIFFERENT = 74
-#: Nodes that a node meets in a round; the last round has what that leaves.
+#: Nodes that a node meets in a round; the blocks have what that leaves.
 LEADS = 2
-#: Rounds against random nodes, before the rest is compared pair by pair.
-STAR_ROUNDS = 4
+#: Rounds against random nodes, while the blocks would have more than CROWDED rows for each row that is left.
+STAR_ROUNDS, CROWDED = 4, 4
+#: Nodes of a block, and shingles of all of them (more only where one node has more).
+BLOCK, SHINGLES = 1024, 1 << 20
+#: Pairs, and cells of a table, that are looked at in one step.
+STEP = 1 << 16
 _RANDOM = np.random.Generator(np.random.PCG64(8675309))
 _MULTIPLY = _RANDOM.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -164,7 +171,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "d
     brief = first.select("node", "n", "compact")
     sets = Sets(source, first, width, scratch)
     tried = None  # pairs whose sets have been compared
-    groups = None  # id, component of the nodes that links have joined
+    groups = scratch.write(first.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0), "groups")
 
     def confirm(pairs: DataFrame) -> bool:
         """Compares the sets of new pairs and merges what they link; False if there were none."""
@@ -173,21 +180,19 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "d
         pairs = scratch.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             return False
-        links = scratch.write(verified(pairs, sets.of(pairs), percent), "links")
+        links = scratch.write(verified(pairs, sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), percent), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        groups = scratch.write(components(links, scratch) if groups is None else merged(groups, links, scratch), "groups")
+        groups = scratch.write(merged(groups, links, scratch), "groups")
         return True
 
     # Round 1: each node against the smallest nodes of its buckets, those LEADS it shares most bands with.
     lead = banded.groupBy("band").agg(F.min("node").alias("lead"))
-    any_pairs = confirm(pair_up(closest(banded.join(lead, "band")), brief, percent))
-    # The next rounds: nodes against other nodes at random where a bucket holds several components, while that helps.
-    if groups is None:
-        groups = scratch.write(banded.select(F.col("node").alias("id"), F.col("node").alias("component")).limit(0), "groups")
+    confirm(pair_up(closest(banded.join(lead, "band")), brief, percent))
     left = between_components(banded, groups, scratch)
     size, before = left.count(), None
-    for number in range(STAR_ROUNDS if any_pairs else 0):
-        if not size or before is not None and size > 0.7 * before:
+    for number in range(STAR_ROUNDS + 1):
+        blocks = Blocks(left, scratch)
+        if number == STAR_ROUNDS or blocks.rows <= CROWDED * size or before is not None and size > 0.7 * before:
             break
         lead = left.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(number))).alias("found")).select("band", F.col("found.node").alias("lead"), F.col("found.component").alias("other"))
         if not confirm(pair_up(closest(left.join(lead, "band").filter("component <> other")), brief, percent)):
@@ -195,12 +200,14 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "d
         scratch.drop(left)
         left, before = between_components(banded, groups, scratch), size
         size = left.count()
-    # The last round: all that is left between components, pair by pair.
-    if size:
-        left = scratch.write(left.join(brief.select("node", "compact"), "node"), "left")
-        x, y = left.alias("x"), left.select(*[F.col(c).alias(f"{c}_") for c in left.columns]).alias("y")
-        cross = x.join(y, (F.col("band") == F.col("band_")) & (F.col("component") < F.col("component_")) & sizes_fit(F.col("n"), F.col("n_"), percent) & (different("compact", "compact_") <= MOST_DIFFERENT))
-        confirm(cross.select(F.col("node").alias("a"), F.col("node_").alias("b")))
+    if size:  # all that is left between components, in blocks
+        key = ["band", "low", "high"]
+        met = blocks.dealt().join(first.select("node", "bands", "compact"), "node").select(*key, "block", "node", "n", "component", "bands", "compact")
+        met = in_arrow(met.repartition(*key).sortWithinPartitions(*key), in_blocks(candidates(percent), key), "band long, low long, high long, block long, node long, component long")
+        met = scratch.write(met, "candidates")
+        held = met.join(sets.of(met.select("node")), "node").select(*key, "block", "node", "component", "shingles")
+        links = in_arrow(held.repartition(*key).sortWithinPartitions(*key), in_blocks(block_links(percent), key), "a long, b long")
+        groups = scratch.write(merged(groups, scratch.write(links, "links"), scratch), "groups")
 
     # From nodes to ids: the smallest id of all classes in the component.
     node = first.select("key1", "key2", "node", F.col("doc_id").alias("class_id")).join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -252,6 +259,128 @@ def merged(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return known.join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
 
 
+class Blocks:
+    """The rows of buckets that hold several components, in blocks of at most BLOCK rows and SHINGLES shingles.
+
+    A component that would fill half a block has blocks of its own, the others of a bucket share the rest, each
+    component in one block. Blocks of the same owner do not meet, but those that are shared do."""
+
+    def __init__(self, left: DataFrame, scratch: Scratch):
+        self.left = left
+        per = left.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+        large = (2 * F.col("c") > BLOCK) | (2 * F.col("w") > SHINGLES)
+        per = per.withColumn("shared", ~large).withColumn("owner", F.when(large, F.col("component")).otherwise(F.lit(0)))
+        number = F.ceil(F.greatest(F.sum("c") / BLOCK, F.sum("w") / SHINGLES))
+        owners = per.groupBy("band", "shared", "owner").agg(F.sum("c").alias("c"), number.alias("blocks"))
+        several = owners.groupBy("band").agg(F.sum("blocks").alias("all")).filter("all > 1")
+        self.owners = scratch.write(owners.join(several, "band"), "owners")
+        met = F.col("c") * (F.col("all") - F.when(F.col("shared"), F.lit(0)).otherwise(F.col("blocks")))
+        #: Rows that dealt() makes of buckets with several blocks.
+        self.rows = self.owners.agg(F.sum(met)).first()[0] or 0
+
+    def dealt(self) -> DataFrame:
+        """Each row once for each pair of blocks (low, high) that its block is in."""
+        zero = F.lit(0).cast("long")
+        crowded = self.owners.select("band").distinct()
+        out = self.left.join(crowded, "band", "left_anti").select(*self.left.columns, zero.alias("low"), zero.alias("high"), zero.alias("block"))
+        if not self.rows:
+            return out
+        number = lambda shared, owner, index: F.when(shared, index.cast("long")).otherwise(F.xxhash64(owner, index))
+        rows = self.left.join(crowded, "band", "left_semi")
+        large = self.owners.filter("not shared").select("band", F.col("owner").alias("component"), F.col("owner").alias("large"))
+        rows = rows.join(large, ["band", "component"], "left").withColumn("shared", F.col("large").isNull()).withColumn("owner", F.coalesce("large", F.lit(0))).drop("large")
+        two = self.owners.select("band", F.col("shared").alias("shared_"), F.col("owner").alias("owner_"), F.col("blocks").alias("blocks_"))
+        meet = self.owners.join(two, "band").filter((F.col("owner") != F.col("owner_")) | (F.col("shared") != F.col("shared_")) | F.col("shared"))
+        rows = rows.join(meet.select("band", "shared", "owner", "blocks", "shared_", "owner_", "blocks_"), ["band", "shared", "owner"])
+        index = F.pmod(F.when(F.col("shared"), F.xxhash64("component")).otherwise(F.xxhash64("node")), F.col("blocks"))
+        rows = rows.withColumn("block", number(F.col("shared"), F.col("owner"), index))
+        rows = rows.withColumn("index_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1)))
+        rows = rows.withColumn("other", number(F.col("shared_"), F.col("owner_"), F.col("index_")))
+        rows = rows.select(*self.left.columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+        return out.unionByName(rows)
+
+
+def _pairs(held: pa.Table, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of two nodes of different components, one of each block, whose sizes fit; about STEP pairs at once."""
+    component, block = held["component"].to_numpy(), held["block"].to_numpy()
+    low, high = held["low"][0].as_py(), held["high"][0].as_py()
+    x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    step = max(1, STEP // max(1, len(y)))
+    for first in range(0, len(x), step):
+        own = x[first : first + step]
+        small, large = np.minimum(n[own][:, None], n[y]), np.maximum(n[own][:, None], n[y])
+        i, j = np.nonzero((component[own][:, None] != component[y]) & (100 * small >= percent * large))
+        i, j = own[i], y[j]
+        if low == high:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            yield i, j
+
+
+def _table(column: pa.ChunkedArray, width: int, kind) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(kind).reshape(-1, width)
+
+
+def candidates(percent: int):
+    """Rows of a pair of blocks to those that have a partner which sizes and compact signatures allow, the band
+    being the first that both share."""
+    odd, three, one = np.uint64(0x1111111111111111), np.uint64(2), np.uint64(1)
+
+    def tell(held: pa.Table) -> pa.RecordBatch:
+        compact, bands = _table(held["compact"], PACKED, np.uint64), _table(held["bands"], BANDS, np.int64)
+        band, hit = held["band"][0].as_py(), np.zeros(held.num_rows, bool)
+        for i, j in _pairs(held, held["n"].to_numpy(), percent):
+            bits = compact[i] ^ compact[j]
+            bits |= bits >> three
+            bits |= bits >> one
+            near = np.flatnonzero(np.bitwise_count(bits & odd).sum(1, dtype=np.int32) <= MOST_DIFFERENT)
+            i, j = i[near], j[near]
+            first = (bands[i] == bands[j]).argmax(1)
+            own = bands[i, first] == band
+            hit[i[own]] = True
+            hit[j[own]] = True
+        names = ["band", "low", "high", "block", "node", "component"]
+        return pa.RecordBatch.from_arrays([pa.array(held[c].to_numpy()[hit]) for c in names], names)
+
+    return tell
+
+
+def block_links(percent: int):
+    """Rows of a pair of blocks, with whole sets, to the links between components (a, b), as a forest."""
+
+    def tell(held: pa.Table) -> pa.RecordBatch:
+        lists = held["shingles"].combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        values, where, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        some = np.cumsum(count > 1) - 1  # only shingles that several sets have matter
+        of, shingle = np.repeat(np.arange(len(n)), n), np.where(count > 1, some, -1)[where]
+        of, shingle = of[shingle >= 0], shingle[shingle >= 0]
+        order = np.argsort(shingle, kind="stable")
+        of, shingle = of[order], shingle[order]
+        block, low, high = held["block"].to_numpy(), held["low"][0].as_py(), held["high"][0].as_py()
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        common, width = np.zeros((len(x), len(y))), max(64, STEP * 64 // max(1, len(n)))
+        for first in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, width):
+            a, b = np.searchsorted(shingle, [first, first + width])
+            has = np.zeros((len(n), width), np.float32)
+            has[of[a:b], shingle[a:b] - first] = 1
+            common += has[x] @ has[y].T
+        place = np.zeros((2, len(n)), np.int64)
+        place[0, x], place[1, y] = np.arange(len(x)), np.arange(len(y))
+        ones, twos = [], []
+        for i, j in _pairs(held, n, percent):
+            both = common[place[0, i], place[1, j]]
+            linked = np.flatnonzero(100 * both >= percent * (n[i] + n[j] - both))
+            ones.append(i[linked])
+            twos.append(j[linked])
+        none = np.zeros(0, np.int64)
+        root = forest(len(n), np.concatenate([none, *ones]), np.concatenate([none, *twos]))
+        nodes, linked = held["node"].to_numpy(), np.flatnonzero(root != np.arange(len(n)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], ["a", "b"])
+
+    return tell
+
+
 class Sets:
     """Whole shingle sets by node, computed from the texts where a pair first asks for them."""
 
@@ -259,9 +388,9 @@ class Sets:
         self.source, self.first, self.width, self.scratch = source, first, width, scratch
         self.held: DataFrame | None = None
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """node, shingles: of all nodes in pairs, at least."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles: of all those nodes, at least."""
+        wanted = nodes.distinct()
         if self.held is not None:
             wanted = wanted.join(self.held.select("node"), "node", "left_anti")
         wanted = self.scratch.write(self.first.select("doc_id", "node", "key1", "key2").join(wanted, "node"), "wanted")

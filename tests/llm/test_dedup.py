@@ -68,6 +68,27 @@ def test_minhash_is_brute_force(spark, copies, odd_rows, with_clashes):
     assert [x["kept"] for x in told if x["doc_id"] is None] == [True, True]
 
 
+@pytest.mark.parametrize("block, crowded", [(4, 10**6), (16, 0)])
+def test_minhash_in_small_blocks_is_brute_force(spark, copies, monkeypatch, block, crowded):
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "CROWDED", crowded)
+    told = M.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), 4).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in told} == brute(copies, 4)
+
+
+def test_blocks_bring_all_components_together(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 8)
+    rows = [(k, 10, 1 if k < 40 else 2, 100 if k % 40 < 12 else 100 + k // 2) for k in range(46)]
+    left = spark.createDataFrame(rows, "node long, n long, band long, component long")
+    met = {}
+    for x in M.Blocks(left, Scratch(spark, "test")).dealt().collect():
+        met.setdefault((x["band"], x["low"], x["high"]), []).append(x)
+    pairs = {(a["node"], b["node"]) for (_, low, high), own in met.items() for a in own for b in own if a["block"] == low and b["block"] == high and a["component"] != b["component"]}
+    pairs |= {(b, a) for a, b in pairs}
+    assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[2] == b[2] and a[3] != b[3]}
+    assert max(map(len, met.values())) <= 2 * 16
+
+
 def test_minhash_stage_keeps_one_of_each_group(spark, copies, with_clashes):
     docs = with_clashes(spark.createDataFrame([*copies, (None, "no id")], "doc_id long, text string"))
     kept = M.dedup_stage(docs)
