@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import DuplicateObjectError
+
 #: Strategy names and the hints that ask for them.
 STRATEGIES = {"hash": "shuffle_hash", "merge": "merge", "nested_loop": "shuffle_replicate_nl", "broadcast": "broadcast"}
 
@@ -66,6 +68,22 @@ def sort(df: DataFrame, *keys: Column) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def sort_numbered(df: DataFrame, *keys: Column, name: str = "position") -> DataFrame:
+    """Sorted rows with their place from 1. The sort deals ranges to tasks and each numbers its own; only the ranges'
+    sizes, a number for each partition, meet on the driver. The sorted rows are materialized, so that both passes see the same."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise DuplicateObjectError(f"column {name}")
+    # The low 33 bits of the id count rows inside a partition, the others are the partition.
+    ordered = materialize(sort(df, *keys).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    first, starts = 1, []
+    for p, n in sorted(ordered.groupBy(part.alias("p")).count().collect()):
+        starts.append(F.when(part == p, F.lit(first)))
+        first += n
+    local = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn(name, F.coalesce(*starts, F.lit(0)) + local)
+
+
 def limit(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
     return (df.offset(offset) if offset else df).limit(n)
 
@@ -76,9 +94,13 @@ def top_n(df: DataFrame, n: int, *keys: Column, offset: int = 0) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Rows computed once and read many times; spilled to disk where memory is short."""
+    """Rows computed once and read many times, spilled to disk where memory is short; release() frees them."""
     return df.persist()
 
 
+def release(df: DataFrame) -> None:
+    df.unpersist()
+
+
 def subquery(df: DataFrame, alias: str) -> DataFrame:
     return df.alias(alias)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .cost import DEFAULT_BUFFERS, JoinGraph, Plan, Predicate, best_plan, explain
 
-#: Broadcast hints are given up to this many bytes, by Spark's own estimate of the plan.
-BROADCAST_BYTES = 64 << 20
+#: Broadcast hints are given up to this many bytes, shuffled hash tables up to this many in each partition.
+BROADCAST_BYTES = HASHED_BYTES = 64 << 20
 
 
 @dataclass
@@ -26,6 +26,38 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+class Size:
+    """At most so many rows and bytes: counted for an input, and the product of both sides for a join, whatever its keys."""
+
+    def __init__(self, rows: int, df: DataFrame | None = None, width: int = 0):
+        self.rows, self.width, least = rows, width, 0
+        if df is not None:
+            self.width, least = df._jdf.schema().defaultSize(), estimated_bytes(df)
+        self.bytes = max(rows * self.width, least)
+
+    def joined(self, other: Size) -> Size:
+        return Size(self.rows * other.rows, width=self.width + other.width)
+
+
+@dataclass(frozen=True)
+class Hint:
+    name: str
+    right: bool  # for the side that is joined; else for what was there before
+
+
+def join_hint(algorithm: str, left: Size, right: Size, partitions: int = 1) -> Hint | None:
+    """The hint for a join: the smaller side is sent whole where it is certain to be small, or hashed where its
+    partitions are. Without a hint the engine decides while the query runs, by the sizes that it meets."""
+    small, on_right = (right, True) if right.bytes <= left.bytes else (left, False)
+    if algorithm == "SortMergeJoin":
+        return Hint("merge", True)
+    if algorithm in ("HashJoin", "IndexNestedLoopJoin") and small.bytes <= BROADCAST_BYTES:
+        return Hint("broadcast", on_right)
+    if algorithm == "HashJoin" and small.bytes <= HASHED_BYTES * partitions:
+        return Hint("shuffle_hash", on_right)
+    return None
+
+
 class JoinQuery:
     """Inner joins of several inputs. on(a, x, b, y) asks for a.x = b.y; where(...) for anything else, after all joins."""
 
@@ -76,15 +108,19 @@ class JoinQuery:
             steps = [(plan.order()[0], None), *((s.right, s.algorithm) for s in plan.steps())]
         (first, _), *others = steps
         out, known = sides[first], 1 << first
+        sizes = [Size(i.rows, i.df) for i in self.inputs] if plan is not None else None
+        size = sizes[first] if sizes else None
+        partitions = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         for table, algorithm in others:
             right = sides[table]
             links = [(a, x, b, y) for a, x, b, y in self.links if Predicate(a, b).joins(known, table)]
-            if algorithm == "HashJoin":
-                right = right.hint("shuffle_hash")
-            elif algorithm == "SortMergeJoin":
-                right = right.hint("merge")
-            elif algorithm == "IndexNestedLoopJoin" and estimated_bytes(out) <= BROADCAST_BYTES:
-                out = out.hint("broadcast")  # the few outer rows visit the large side, which need not be shuffled
+            if algorithm is not None:
+                hint = join_hint(algorithm, size, sizes[table], partitions)
+                if hint is not None and hint.right:
+                    right = right.hint(hint.name)
+                elif hint is not None:
+                    out = out.hint(hint.name)
+                size = size.joined(sizes[table])
             if links:
                 on = F.lit(True)
                 for a, x, b, y in links:

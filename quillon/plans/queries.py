@@ -5,17 +5,17 @@ Each query goes through the engine's own operators; the SQL is written apart fro
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import INT, STRING, Catalog, Column
 from ..functions import expressions as E
 from ..operators import dml, indexes
 from ..operators import relational as R
-from ..sources.files import read_csv, scan, values
+from ..sources.files import read_csv, scan, shared_folder, values
+from ..sources.store import Store
 from .joins import Input, JoinQuery
 from .sql import Engine
 
@@ -122,9 +122,11 @@ query("int_mod", "SELECT o_orderkey, (o_orderkey - 5000) % 7 AS r FROM orders")(
 query("div_zero_null", "SELECT o_orderkey, o_orderkey // NULLIF(o_custkey % 3, 0) AS q FROM orders")(lambda t: R.project(t.orders, "o_orderkey", q=E.divide(c("o_orderkey"), E.remainder(c("o_custkey"), E.integer(3)))))
 query("mod_zero_null", "SELECT o_orderkey, o_orderkey % NULLIF(o_custkey % 3, 0) AS r FROM orders")(lambda t: R.project(t.orders, "o_orderkey", r=E.remainder(c("o_orderkey"), E.remainder(c("o_custkey"), E.integer(3)))))
 query("concat", "SELECT c_custkey, c_name || c_mktsegment AS s, c_name || NULLIF(c_mktsegment, 'BUILDING') AS n FROM customer")(lambda t: R.project(t.customer, "c_custkey", s=E.concat(c("c_name"), c("c_mktsegment")), n=E.concat(c("c_name"), F.nullif(c("c_mktsegment"), E.string("BUILDING")))))
-for name, pattern in (("prefix", "Customer#00000%"), ("contains", "%77%"), ("underscore", "Customer#______1_1"), ("escape", "%\\_%")):
+for name, pattern in (("prefix", "Customer#00000%"), ("contains", "%77%"), ("underscore", "Customer#______1_1")):
     query(f"like_{name}", f"SELECT c_custkey FROM customer WHERE c_name LIKE '{pattern}' ESCAPE '\\'")(lambda t, pattern=pattern: t.customer.filter(E.like(c("c_name"), pattern)).select("c_custkey"))
 
+query("like_escape", "SELECT c_custkey FROM customer WHERE c_name || '_' || c_mktsegment LIKE '%\\_B%' ESCAPE '\\'")(lambda t: t.customer.filter(E.like(E.concat(E.concat(c("c_name"), E.string("_")), c("c_mktsegment")), "%\\_B%")).select("c_custkey"))
+
 # ------------------------------------------------------------------- joins
 
 _PAIR = "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey"
@@ -135,14 +137,9 @@ query("join_bnl_theta", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation
 query("join_using", "SELECT a.n_nationkey, a.n_name, b.n_nationkey AS right_key FROM nation a JOIN nation b USING (n_nationkey)")(lambda t: R.join_using(a := t.nation, b := t.nation.select("n_nationkey"), ["n_nationkey"]).select(a["n_nationkey"], a["n_name"], b["n_nationkey"].alias("right_key")))
 query("join_cross", "SELECT n_name, r_name FROM nation, region")(lambda t: R.join(t.nation, t.region, None).select("n_name", "r_name"))
 query("join_comma_where", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")(lambda t: R.join(t.nation, t.region, None).filter(c("n_regionkey") == c("r_regionkey")).select("n_name", "r_name"))
-_BIG = "(SELECT * FROM orders WHERE o_orderkey % 5 = 0)"
-for name, how in (("left", "left"), ("right", "right"), ("full", "full")):
-    query(f"join_{name}", f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c {how.upper()} JOIN {_BIG} o ON c_custkey = o_custkey")(
-        lambda t, how=how: R.join(t.customer.filter("c_custkey % 2 = 0"), t.orders.filter("o_orderkey % 5 = 0"), on_customer(), how).select("c_custkey", "o_orderkey")
-    )
 # Whole tables: nations whose key is over 6 or 0, and orders without a key, are unmatched.
 for name in ("left", "right", "full"):
-    query(f"join_{name}_whole", f"SELECT n_nationkey, o_orderkey FROM nation {name.upper()} JOIN ({_NULLS}) x ON n_nationkey = x.a")(
+    query(f"join_{name}", f"SELECT n_nationkey, o_orderkey FROM nation {name.upper()} JOIN ({_NULLS}) x ON n_nationkey = x.a")(
         lambda t, how=name: R.join(t.nation, with_nulls(t), c("n_nationkey") == c("a"), how).select("n_nationkey", "o_orderkey")
     )
 query("join_self", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")(
@@ -174,17 +171,71 @@ for _n in range(2, 7):
     _from = " JOIN ".join(x if y is None else f"{x} ON {y} = {z}" for x, y, z in _CHAIN[:_n])
     query(f"cbo_chain_{_n}", f"SELECT {', '.join(col for x, _, _ in _CHAIN[:_n] for col in _COLUMNS[x].split())} FROM {_from}")(lambda t, n=_n: chain(t, n).dataframe())
 query("cbo_skewed", f"SELECT r_name, COUNT(*) AS n FROM {' JOIN '.join(x if y is None else f'{x} ON {y} = {z}' for x, y, z in _CHAIN[:5])} GROUP BY r_name")(lambda t: chain(t, 5, reverse=True).dataframe().groupBy("r_name").agg(F.count("*").alias("n")))
-query("cbo_explain")(lambda t: values(t._spark, [(k, line) for k, line in enumerate(chain(t, 4).explain().split("\n"))], "line long, told string"))
+#: Rows of the tables of cbo_explain.
+_SKEWED = (25, 100_000, 150_000, 1_500_000)
+#: What the fixed formulas give for these sizes: an index join from 25 rows, then hash joins, at 1930100 in all.
+_EXPLAINED = """
+Best left-deep plan
+(((T0 IndexNestedLoopJoin T1) HashJoin T2) HashJoin T3)
+
+Summary
+  total_cost: 1930100.00
+  output_rows: 1200000.00
+  joins: 3
+
+Tree
+  HashJoin (cost=1930100.00, rows=1200000.00)
+    HashJoin (cost=310100.00, rows=120000.00)
+      IndexNestedLoopJoin (cost=80100.00, rows=80000.00)
+        Scan T0 (rows=25.00)
+        Scan T1 (rows=100000.00)
+      Scan T2 (rows=150000.00)
+    Scan T3 (rows=1500000.00)
+
+Steps
+  1. {T0} with T1
+   * IndexNestedLoopJoin  cost=80100.00
+     SortMergeJoin        cost=1761105.14
+     HashJoin             cost=100025.00
+     BlockNestedLoopJoin  cost=100025.00
+  2. {T0, T1} with T2
+     IndexNestedLoopJoin  cost=440000.00
+     SortMergeJoin        cost=4112207.44
+   * HashJoin             cost=230000.00
+     BlockNestedLoopJoin  cost=120080000.00
+  3. {T0, T1, T2} with T3
+     IndexNestedLoopJoin  cost=1680000.00
+     SortMergeJoin        cost=34419517.59
+   * HashJoin             cost=1620000.00
+     BlockNestedLoopJoin  cost=1800120000.00
+""".strip("\n").split("\n")
+
+
+@query("cbo_explain", f"SELECT * FROM (VALUES {', '.join(f'({k}, {chr(39)}{x}{chr(39)})' for k, x in enumerate(_EXPLAINED))}) v(line, told)")
+def _(t: Tables) -> DataFrame:
+    """Four tables of given sizes in a chain: the text names each table, its join and the costs."""
+    out = JoinQuery(*[Input(f"T{k}", t.region.select(c("r_regionkey").alias("a")), (("a",),), n) for k, n in enumerate(_SKEWED)])
+    for k in range(len(_SKEWED) - 1):
+        out.on(f"T{k}", "a", f"T{k + 1}", "a")
+    return values(t._spark, [(k, line) for k, line in enumerate(out.explain().split("\n"))], "line int, told string")
+
 
 _CBO_SQL = "SELECT r_name, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey, region WHERE n_regionkey = r_regionkey AND o_orderstatus = 'F' GROUP BY r_name"
 
 
-@query("cbo_sql", _CBO_SQL)
-def _(t: Tables) -> DataFrame:
+def engine_over(t: Tables, *names: str) -> Engine:
     engine = Engine(t._spark)
-    for name in ("lineitem", "orders", "customer", "nation", "region"):
+    for name in names:
         engine.register(name, f"{t._dir}/{name}.parquet")
-    return engine.cbo(_CBO_SQL)
+    return engine
+
+
+query("cbo_sql", _CBO_SQL)(lambda t: engine_over(t, "lineitem", "orders", "customer", "nation", "region").cbo(_CBO_SQL))
+
+_OR_SQL = "SELECT c_custkey, o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_nationkey = 1 OR c.c_nationkey = 2 AND o.o_orderkey < 100"
+query("cbo_sql_or", _OR_SQL)(lambda t: engine_over(t, "orders", "customer").cbo(_OR_SQL))
+_SIGNS = "SELECT c_custkey, o_orderkey FROM customer c JOIN orders o ON c.c_custkey == o.o_custkey WHERE o.o_orderkey < {} AND c.c_nationkey <> 2 AND o.o_custkey {} 2 >= 5 AND o.o_orderkey <= .5E+3"
+query("cbo_sql_operators", _SIGNS.format("1e3", ">>"))(lambda t: engine_over(t, "orders", "customer").cbo(_SIGNS.format("1e3", ">>")))
 
 
 @query("sql_dialect", "SELECT o_orderkey, o_orderkey // NULLIF(o_custkey % 3, 0) AS q, CAST(o_custkey > 50 AS BIGINT) AS big FROM orders WHERE o_custkey % 2 <> 0")
@@ -214,16 +265,16 @@ query("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM or
 
 
 def placed(df: DataFrame, *order) -> DataFrame:
-    """The rows with their position, so that an order-blind comparison sees the order. For small results."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    """Sorted rows with their position, so that an order-blind comparison sees the order."""
+    return R.sort_numbered(df, *order).withColumn("position", c("position").cast("int"))
 
 
 _PLACE = "CAST(row_number() OVER (ORDER BY {}) AS INTEGER) AS position"
-query("sort_asc", f"SELECT c_custkey, {_PLACE.format('c_custkey')} FROM customer")(lambda t: placed(t.customer.select("c_custkey"), "c_custkey"))
+query("sort_asc", f"SELECT c_custkey, {_PLACE.format('c_custkey')} FROM customer")(lambda t: placed(t.customer.select("c_custkey"), c("c_custkey")))
 query("sort_desc", f"SELECT c_custkey, {_PLACE.format('c_custkey DESC')} FROM customer")(lambda t: placed(t.customer.select("c_custkey"), c("c_custkey").desc()))
-query("sort_multi", f"SELECT c_custkey, {_PLACE.format('c_mktsegment, c_nationkey DESC, c_custkey')} FROM customer")(lambda t: placed(t.customer, "c_mktsegment", c("c_nationkey").desc(), "c_custkey").select("c_custkey", "position"))
-query("sort_expr", f"SELECT c_custkey, {_PLACE.format('c_custkey % 10, c_custkey')} FROM customer")(lambda t: placed(t.customer, E.remainder(c("c_custkey"), E.integer(10)), "c_custkey").select("c_custkey", "position"))
-query("sort_nulls", f"SELECT c_custkey, {_PLACE.format('NULLIF(c_custkey % 7, 0) NULLS FIRST, c_custkey')} FROM customer")(lambda t: placed(t.customer, F.nullif(E.remainder(c("c_custkey"), E.integer(7)), E.integer(0)), "c_custkey").select("c_custkey", "position"))
+query("sort_multi", f"SELECT c_custkey, {_PLACE.format('c_mktsegment, c_nationkey DESC, c_custkey')} FROM customer")(lambda t: placed(t.customer.select("c_custkey", "c_mktsegment", "c_nationkey"), c("c_mktsegment"), c("c_nationkey").desc(), c("c_custkey")).select("c_custkey", "position"))
+query("sort_expr", f"SELECT c_custkey, {_PLACE.format('c_custkey % 10, c_custkey')} FROM customer")(lambda t: placed(t.customer.select("c_custkey"), E.remainder(c("c_custkey"), E.integer(10)), c("c_custkey")).select("c_custkey", "position"))
+query("sort_nulls", f"SELECT c_custkey, {_PLACE.format('NULLIF(c_custkey % 7, 0) NULLS FIRST, c_custkey')} FROM customer")(lambda t: placed(t.customer.select("c_custkey"), F.nullif(E.remainder(c("c_custkey"), E.integer(7)), E.integer(0)), c("c_custkey")).select("c_custkey", "position"))
 query("sort_nonprojected", "SELECT c_name FROM customer ORDER BY c_custkey DESC LIMIT 7")(lambda t: R.sort(t.customer, c("c_custkey").desc()).select("c_name").limit(7))
 query("limit", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7")(lambda t: R.limit(R.sort(t.customer, c("c_custkey")), 7).select("c_custkey"))
 query("limit_offset", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7 OFFSET 20")(lambda t: R.limit(R.sort(t.customer, c("c_custkey")), 7, 20).select("c_custkey"))
@@ -265,6 +316,31 @@ query("delete_null_pred_keeps", f"SELECT * FROM ({_NULLS}) WHERE NOT COALESCE(a
 query("delete_all", "SELECT * FROM nation WHERE FALSE")(lambda t: dml.delete(t.nation)[0])
 query("delete_order_limit", "SELECT * FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 ORDER BY n_name DESC LIMIT 2)")(lambda t: dml.delete(t.nation, c("n_regionkey") == 1, [c("n_name").desc()], 2)[0])
 
+
+
+def after(t: Tables, table: str, *statements: str) -> DataFrame:
+    """A table of a new store after statements as text, which commit one after the other."""
+    store = Store(t._spark, shared_folder(t._spark))
+    rows = getattr(t, table)
+    store.create(table, rows.schema)
+    with store.begin() as transaction:
+        transaction.insert(table, rows)
+    engine = Engine(t._spark, store)
+    for statement in statements:
+        engine.execute(statement)
+    return store.table(table)
+
+
+query("sql_insert", "SELECT * FROM nation UNION ALL SELECT 100, 'ATLANTIS', 1 UNION ALL SELECT n_nationkey + 200, NULL, n_regionkey FROM nation WHERE n_regionkey = 3")(
+    lambda t: after(t, "nation", "INSERT INTO nation VALUES (100, 'ATLANTIS', 1);", "INSERT INTO nation (n_regionkey, n_nationkey) SELECT n_regionkey, n_nationkey + 200 FROM nation WHERE n_regionkey = 3")
+)
+query("sql_update", "SELECT n_nationkey, CASE WHEN n_regionkey % 2 <> 0 THEN n_name || '; WHERE' ELSE n_name END AS n_name, CASE WHEN n_regionkey % 2 <> 0 THEN n_nationkey // 7 ELSE n_regionkey END AS n_regionkey FROM nation")(
+    lambda t: after(t, "nation", "UPDATE nation SET n_name = n_name || '; WHERE', n_regionkey = n_nationkey / 7 WHERE n_regionkey % 2 -- odd ones")
+)
+query("sql_delete", "SELECT * FROM nation WHERE NOT (n_nationkey >= 2e1 OR n_regionkey = 1 AND n_nationkey < 10) AND n_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2 AND n_nationkey < 20 ORDER BY n_name DESC LIMIT 2)")(
+    lambda t: after(t, "nation", "DELETE FROM nation WHERE n_nationkey >= 1e3", "DELETE FROM nation WHERE n_nationkey >= 2e1 OR n_regionkey == 1 AND n_nationkey < 10", "DELETE FROM nation WHERE n_regionkey = 2 ORDER BY n_name DESC LIMIT 2")
+)
+
 # --------------------------------------------------------- catalog, sources
 
 
@@ -279,8 +355,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("csv_load", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
 def _(t: Tables) -> DataFrame:
-    base = t._spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{base}/quillon-csv/nation.csv"
-    t.nation.select("n_nationkey", "n_name").write.mode("overwrite").csv(path, escape='"')
+    path = f"{shared_folder(t._spark)}/nation.csv"
+    t.nation.select("n_nationkey", "n_name").write.csv(path, escape='"')
     catalog = Catalog()
     return read_csv(t._spark, path, catalog.add_table("nation", [Column("n_nationkey", INT), Column("n_name", STRING)]))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,21 @@ def values(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -
     return spark.createDataFrame(rows, schema)
 
 
-def read_csv(spark: SparkSession, path: str, table: Table, header: bool = False) -> DataFrame:
-    """A CSV file under a table's schema; a row that does not fit fails the query."""
-    df = spark.read.schema(table.schema).csv(path, header=header, mode="FAILFAST", escape='"', multiLine=True)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate files that all executors see: under spark.checkpoint.dir, or on one machine its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/quillon-{uuid.uuid4().hex}"
+
+
+def read_csv(spark: SparkSession, path: str, table: Table, header: bool = False, multi_line: bool = False) -> DataFrame:
+    """A CSV file under a table's schema; a row that does not fit fails the query.
+
+    multi_line: fields may hold line ends; such a file is read by one task, any other by many."""
+    df = spark.read.schema(table.schema).csv(path, header=header, mode="FAILFAST", escape='"', multiLine=multi_line)
     for c in table.columns:
         if c.type == 2:
             fits = F.coalesce(F.octet_length(c.name) <= STRING_BYTES, F.lit(True))

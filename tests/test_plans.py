@@ -1,9 +1,13 @@
 import pytest
+from pyspark.errors import ParseException
+from pyspark.sql import functions as F
 
+from quillon import __main__ as cli
 from quillon.catalog import INT, STRING, Catalog, Column
-from quillon.errors import ConflictError, DuplicateObjectError, NoSuchObjectError, UnsupportedError
+from quillon.errors import ConflictError, DuplicateObjectError, NoSuchObjectError, TypeMismatchError, UnsupportedError
+from quillon.operators import dml
 from quillon.plans.cost import JoinGraph, Predicate, best_plan, explain, one_line, rule_plan
-from quillon.plans.joins import Input, JoinQuery
+from quillon.plans.joins import Hint, Input, JoinQuery, Size, join_hint
 from quillon.plans.sql import Engine, read_joins
 from quillon.sources.files import formatted, load_csvs
 from quillon.sources.store import Store
@@ -69,11 +73,58 @@ def test_reordered_sql_gives_the_same_rows_and_columns(engine):
     plain, best = engine.sql(JOINED), engine.cbo(JOINED)
     assert plain.columns == best.columns
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, best.collect()))
-    assert "/*+" in engine.reordered(JOINED)
+    assert "FROM region r, customer c, orders o WHERE" in engine.reordered(JOINED)
     assert "Best left-deep plan" in engine.joinopt(JOINED)
     assert "best join cost" in engine.cost_report(JOINED)
 
 
+#: Conditions over orders (o_id, o_customer, amount), customer (c_id, c_region, c_name) and region (r_id, r_name).
+CONDITIONS = [
+    "o.amount > 1e2", "o.amount > 1.5E+2", "o.amount < .5e3", "o.amount == 100", "o.o_id >> 2 = 5", "o.o_id << 1 < 50", "o.o_id >>> 1 > 20", "o.amount <> 100", "o.amount != 100", "o.o_id <=> 7",
+    "o.o_id < 9 OR c.c_id = 3", "o.o_id < 9 OR c.c_id = 3 AND r.r_id = 1", "c.c_id = 1 AND o.o_id > 5 OR c.c_id = 2 AND o.o_id < 100", "(o.o_id < 9 OR c.c_id = 3) AND r.r_id = 1", "NOT (o.o_id < 9 OR c.c_id = 3)", "NOT o.o_id < 9 AND r.r_id = 1",
+    "NOT o.o_id < 9 OR r.r_id = 1", "o.o_id BETWEEN 5 AND 50", "o.o_id BETWEEN 5 AND 50 AND c.c_id < 7", "o.o_id NOT BETWEEN 5 AND 50 OR c.c_id < 7", "o.o_id BETWEEN 5 AND 50 OR c.c_id BETWEEN 1 AND 3 AND r.r_id = 1",
+    "CASE WHEN o.o_id > 5 AND c.c_id < 9 OR r.r_id = 1 THEN true ELSE false END", "CASE WHEN o.o_id > 5 THEN 1 ELSE 0 END = 1 AND c.c_id < 9", "c.c_name LIKE 'c%1' AND o.o_id < 40", "c.c_name = 'c''7' OR c.c_name = 'c7'", "c.c_name = 'c\\'7' OR r.r_id = 1",
+    "c.c_name = 'a AND b' OR o.o_id = 3", "c.c_name <> 'x OR y' AND o.o_id = 3", "o.o_id IN (1, 2, 3) OR c.c_id IN (4, 5)", "o.o_id IN (SELECT c_id FROM customer WHERE c_id < 9 OR c_id = 11)", "EXISTS (SELECT 1 FROM region WHERE r_id = c.c_region AND r_id = 1) OR o.o_id = 2",
+    "o.o_id IS DISTINCT FROM 4 AND c.c_id < 5", "o.o_id IS NOT DISTINCT FROM 4 OR c.c_id < 2", "o.amount IS NULL OR o.o_id < 5", "o.amount IS NOT NULL AND o.o_id < 5", "o.o_id / 2 = 10 OR c.c_id = 3", "o.o_id % 7 = 1 AND c.c_id % 2 = 1", "-o.o_id < -50 AND +c.c_id > 3",
+    "o.o_id - 1 > 5 /* AND c.c_id = 9 */ AND c.c_id < 4", "o.o_id > 5 -- OR c.c_id = 9\n AND c.c_id < 4", "`o`.`o_id` < 10 OR `c`.c_id = 2", "o.o_id < 10L AND c.c_id > 1S", "o.amount < 100.5BD OR c.c_id = 2", "o.amount < 1e2D AND c.c_id = 2", "coalesce(o.o_id, 0) < 10 AND c.c_id > 1",
+    "((o.o_id < 10) AND (c.c_id > 1)) OR ((r.r_id = 1))", "(o.o_id < 10 AND c.c_id > 1 OR r.r_id = 1)", "o.o_id & 3 = 1 AND c.c_id | 1 = 3", "o.o_id ^ 3 > 9 OR ~c.c_id = -3", "c.c_name || 'x' = 'c7x' OR o.o_id = 1", "CAST(o.o_id AS STRING) = '7' OR o.o_id::string = '8'", "true OR false AND o.o_id = 1", "o.o_id = 1 OR NOT c.c_id = 2 AND NOT r.r_id = 1",
+]
+
+
+@pytest.mark.parametrize("place", ["WHERE", "ON"])
+def test_reordering_keeps_the_meaning_of_conditions(engine, place):
+    joined = "SELECT o.o_id, c.c_id, r.r_id FROM orders o JOIN customer c ON o.o_customer = c.c_id JOIN region r ON r.r_id = c.c_region"
+    for condition in CONDITIONS:
+        query = f"{joined} WHERE {condition}" if place == "WHERE" else f"{joined} AND ({condition})"
+        assert sorted(map(tuple, engine.sql(query).collect())) == sorted(map(tuple, engine.cbo(query).collect())), condition
+        assert len(read_joins(engine.dialect(query)).conditions) >= 3 or place == "ON"
+
+
+def test_a_number_and_a_string_do_not_compare(engine):
+    for query in ("SELECT * FROM orders WHERE o_id = 'a'", "SELECT * FROM orders o JOIN customer c ON o.o_id = c.c_name", "SELECT c_name < 3 AS x FROM customer"):
+        with pytest.raises(TypeMismatchError):
+            engine.sql(query)
+    assert engine.sql("SELECT * FROM orders WHERE CAST(o_id AS STRING) = '7' AND o_id = NULL").count() == 0
+
+
+def test_no_large_side_is_sent_or_hashed_whole(spark):
+    def chain(rows):
+        inputs = [Input(f"t{k}", spark.range(10).select(F.col("id").alias("a"), F.col("id").alias("b")).repartition(3), (), n) for k, n in enumerate(rows)]
+        out = JoinQuery(*inputs)
+        for k in range(len(rows) - 1):
+            out.on(f"t{k}", "b", f"t{k + 1}", "a")
+        return out.dataframe()._jdf.queryExecution().optimizedPlan().toString()
+
+    small = chain((5, 25, 1500))
+    assert small.count("broadcast") == 2 and "shuffle_hash" not in small
+    large = chain((10**9, 25, 1500))  # the small ones are sent, never what holds the large one
+    assert large.count("strategy=broadcast") == 2
+    none = chain((10**9, 10**9, 10**9))
+    assert "strategy" not in none
+    assert join_hint("HashJoin", Size(10**9, width=8), Size(10**8, width=8), 200) == Hint("shuffle_hash", True)
+    assert join_hint("HashJoin", Size(10**8, width=8), Size(10**9, width=8), 200) == Hint("shuffle_hash", False)
+
+
 def test_what_has_no_join_order_runs_as_written(engine):
     for q in ("SELECT * FROM orders o LEFT JOIN customer c ON o.o_customer = c.c_id", "SELECT s.o_id FROM (SELECT o_id FROM orders) s", "SELECT o_id FROM orders UNION SELECT c_id FROM customer"):
         with pytest.raises(UnsupportedError):
@@ -129,7 +180,15 @@ def test_store_and_statements(spark, tmp_path):
     assert count("INSERT INTO kv (k) SELECT k + 10 FROM kv") == 4
     assert count("UPDATE kv SET v = concat(v, '!'), k = k + 0 WHERE k < 3") == 2
     assert count("DELETE FROM kv WHERE k > 10 ORDER BY k DESC LIMIT 1") == 1
-    assert count("DELETE FROM kv WHERE v = 'nothing'") == 0
+    for nothing in ("v = 'nothing'", "k >= 1e3", "k == 99 -- none", "k >> 1 = 77", "k % 1"):
+        assert count(f"DELETE FROM kv WHERE {nothing}") == 0
+    assert count("UPDATE kv SET v = v WHERE k % 2") == 4 and count("UPDATE kv SET k = k WHERE k >= 1.1e1") == 3
+    for garbage in ("DELETE FROM kv WHER k = 1", "DELETE FROM kv x", "DELETE FROM kv WHERE k = 1 LIMIT 1 x", "DELETE FROM kv WHERE", "UPDATE kv SET k", "INSERT INTO kv", "DELETE kv", "DELETE FROM kv ORDER k LIMIT 1"):
+        with pytest.raises(UnsupportedError):
+            engine.execute(garbage)
+    for garbage in ("DELETE FROM kv WHERE k = 1 x", "UPDATE kv SET k = 1 y", "UPDATE kv SET v = 'q' WHERE k >= 1 e3"):
+        with pytest.raises(ParseException):
+            engine.execute(garbage)
     assert sorted(map(tuple, store.table("kv").collect()), key=lambda r: r[0]) == [(1, "a,b!"), (2, 'say "x"!'), (3, "c"), (4, "d"), (11, None), (12, None), (13, None)]
     assert "NULL(string)" in engine.run("SELECT * FROM kv ORDER BY k")
     for statement in ("UPDATE kv SET v = 'x' LIMIT 1", "CREATE TABLE x (a INT)", ""):
@@ -148,6 +207,27 @@ def test_store_and_statements(spark, tmp_path):
     assert store.table("kv").count() == 0 and store.tables() == ["kv"]
 
 
+def test_delete_with_limit_tells_equal_rows_by_number(spark):
+    rows = [(1, "a"), (1, "a"), (1, "a"), (2, None), (2, None), (None, None), (3, "b")]
+    table = spark.createDataFrame(rows, "k long, v string").repartition(3)
+    left, affected = dml.delete(table, F.col("v").isNull() | (F.col("k") == 1), [F.col("k").asc_nulls_first(), F.col("v")], 3)
+    assert affected.first()[0] == 3 and sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a"), (2, None), (2, None), (3, "b")], key=str)
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    catalog = Catalog("catalog.json")
+    catalog.add_table("kv", [Column("k", INT), Column("v", STRING)])
+    catalog.save()
+    (tmp_path / "kv.csv").write_text("1,a\n2,b\n")
+    flags = ["-db", f"file://{tmp_path}/store"]
+    assert cli.load(spark, cli.arguments(["load", *flags, f"file://{tmp_path}/kv.csv", "file:///no.csv"])) == ["kv: 2 rows", "file:///no.csv: no such table"]
+    assert cli.load(spark, cli.arguments(["load", *flags, "-truncate", f"file://{tmp_path}/kv.csv"])) == ["kv: 2 rows"]
+    lines = ["help", "", "SELECT k", "  FROM kv WHERE k = 2;", "SELECT nothing FROM kv;", "cbo SELECT a.k FROM kv a JOIN kv b ON a.k = b.k;", "joinopt SELECT a.k FROM kv a JOIN kv b ON a.k = b.k;", "tables;", "DELETE FROM kv;", "exit", "SELECT 1;"]
+    told = list(cli.shell(spark, cli.arguments(["shell", *flags]), lines))
+    assert len(told) == 7 and "joinopt" in told[0] and "(1 rows)" in told[1] and told[2].startswith("error: ") and "best join cost" in told[3] and "Steps" in told[4] and told[5] == "kv(k bigint, v string)" and "2" in told[6]
+
+
 def test_formatting(spark):
     told = formatted(spark.createDataFrame([(1, "a"), (None, None)], "n long, s string"))
     assert told.splitlines() == ["n          s", '1          "a"', "NULL(int)  NULL(string)", "(2 rows)"]
@@ -160,7 +240,7 @@ def test_whole_outer_joins_have_unmatched_rows(spark):
     for name in ("nation", "orders"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for how in ("left", "right", "full"):
-        name = f"join_{how}_whole"
+        name = f"join_{how}"
         got = sorted(map(tuple, __spark_entry__.queries()[name](spark, sf_dir).collect()), key=str)
         assert got == sorted(map(tuple, spark.sql(__spark_entry__.oracle_sql()[name]).collect()), key=str)
         assert any(x[1] is None for x in got) == (how != "right") and any(x[0] is None for x in got) == (how != "left")
