@@ -72,6 +72,12 @@ def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def in_arrow_column(spark: SparkSession, function: Callable[[pa.Array], pa.Array], kind: str) -> Callable[..., Column]:
+    """A column function over Arrow arrays. Only its arguments and its result pass through Python, not the other columns."""
+    prepare(spark)
+    return F.arrow_udf(function, kind)
+
+
 class Scratch:
     """Tables in the folder that the cluster shares (spark.checkpoint.dir).
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, in_arrow, slices, utf8
+from .common import fold, fresh, in_arrow, in_arrow_column, slices, utf8
 
 ORDER = 3
 UNKNOWN = "und"
@@ -274,17 +274,14 @@ def identify(docs: DataFrame, trees: ContextTrees, text: str = "text", output: s
     """All columns of docs and a struct `output` of lang_pred, score and bits_per_byte."""
     if output.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"{output} is a column of the input")
-    position = docs.columns.index(text)
     frozen = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            names, own, rate = predict(batch.column(position), frozen.value)
-            told = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(own), pa.array(rate)], ["lang_pred", "score", "bits_per_byte"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, told], [*batch.schema.names, output])
+    def score(texts: pa.Array) -> pa.Array:
+        names, own, rate = predict(texts, frozen.value)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(own), pa.array(rate)], ["lang_pred", "score", "bits_per_byte"])
 
-    schema = docs.select("*", F.lit(None).cast("struct<lang_pred: string, score: double, bits_per_byte: double>").alias(output)).schema
-    return in_arrow(docs, score, schema)
+    told = in_arrow_column(docs.sparkSession, score, "struct<lang_pred: string, score: double, bits_per_byte: double>")
+    return docs.select("*", told(F.col(f"`{text}`")).alias(output))
 
 
 def held_out(docs: DataFrame):

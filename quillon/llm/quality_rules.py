@@ -15,7 +15,6 @@ repeated rows are scored each; labels that disagree count as the mean, half up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Scratch, fold, fresh, in_arrow, mix, runs, slices, span_hashes, utf8
+from .common import IS_SPACE, Scratch, fold, fresh, in_arrow_column, mix, runs, slices, span_hashes, utf8
 
 STATISTICS = ("words", "word_bytes", "upper_share", "digit_share", "bang_rate", "bar_rate", "symbol_share", "stop_rate", "words_a_line", "lines", "unique_share", "top_share", "repeat_share", "line_copies", "triple_copies", "long_share", "capital_share", "rare_bytes")
 
@@ -103,17 +102,14 @@ STATISTICS_TYPE = f"struct<{', '.join(f'{x}: double' for x in STATISTICS)}>"
 
 def with_statistics(docs: DataFrame, text: str, output: str) -> DataFrame:
     """All columns of docs and a struct of statistics."""
-    position = docs.columns.index(text)
 
-    def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            raw, offsets, _ = utf8(batch.column(position))
-            parts = [statistics(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
-            values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
-            told = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATISTICS))], list(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, told], [*batch.schema.names, output])
+    def measure(texts: pa.Array) -> pa.Array:
+        raw, offsets, _ = utf8(texts)
+        parts = [statistics(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+        values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(STATISTICS))], list(STATISTICS))
 
-    return in_arrow(docs, measure, docs.select("*", F.lit(None).cast(STATISTICS_TYPE).alias(output)).schema)
+    return docs.select("*", in_arrow_column(docs.sparkSession, measure, STATISTICS_TYPE)(F.col(f"`{text}`")).alias(output))
 
 
 # ------------------------------------------------------------------ fitting
@@ -260,7 +256,7 @@ def quality_query(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataF
 
 def quality_stage(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Documents whose score is under 0.5 go; all columns of the others stay."""
-    own = with_statistics(docs.select("doc_id", "text"), "text", "s").select("doc_id", "s")
-    model = train(scratch.write(own, "statistics"), labels)
     name = fresh(docs.columns, "statistics")
-    return with_statistics(docs, "text", name).filter(model.column(F.col(name)) >= 0.5).drop(name)
+    own = scratch.write(with_statistics(docs, "text", name), "statistics")
+    model = train(own.select("doc_id", F.col(name).alias("s")), labels)
+    return own.filter(model.column(F.col(name)) >= 0.5).drop(name)
