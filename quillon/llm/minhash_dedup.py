@@ -359,8 +359,9 @@ def block_links(percent: int):
         of, shingle = of[order], shingle[order]
         block, low, high = held["block"].to_numpy(), held["low"][0].as_py(), held["high"][0].as_py()
         x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        common, width = np.zeros((len(x), len(y))), max(64, STEP * 64 // max(1, len(n)))
-        for first in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, width):
+        shared = int(shingle[-1]) + 1 if len(shingle) else 0
+        common, width = np.zeros((len(x), len(y))), max(1, min(shared, STEP * 64 // len(n)))
+        for first in range(0, shared, width):
             a, b = np.searchsorted(shingle, [first, first + width])
             has = np.zeros((len(n), width), np.float32)
             has[of[a:b], shingle[a:b] - first] = 1
