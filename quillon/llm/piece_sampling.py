@@ -12,20 +12,24 @@ mass, cut off at the maximum above it. The queue pops the set with the highest m
 next best segmentation, without replacement. With kappa the best perturbed value beyond the k samples, a
 sample's inclusion probability is 1 - exp(-exp(log_prob - kappa)).
 
-All random numbers are hashes of (seed, row key, path, word, step), so a row gets the same samples anywhere.
+All random numbers are hashes of (seed, row key, path, word, step), so a row gets the same samples anywhere; the row key
+counts as 64 bits. The texts of a batch take their steps together, and a worker keeps the lattices of the words that it
+has met, up to KEPT_STATES characters.
 
-Defined results: null and empty texts have one segmentation, the empty one, with inclusion 1; texts
+Defined results: a text of any length is sampled whole, alone in its batch if it is longer than one; null and empty texts have one segmentation, the empty one, with inclusion 1; texts
 with fewer than k segmentations return all they have; rows without a key count as key null and rows that repeat
 a key and text get equal samples; an empty table gives an empty result; other columns do no harm.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,10 @@ def processor(path: str):
 
 
 def words_of(model, text: str) -> list[str]:
-    return _WORD.findall(model.normalize(text))
+    own = model.normalize(text)
+    if " " in own or SPACE * 2 in own or not own.startswith(SPACE):
+        return _WORD.findall(own)
+    return own.replace(SPACE, f" {SPACE}").split(" ")[1:]
 
 
 # ------------------------------------------------------------------ weights
@@ -54,13 +61,16 @@ def words_of(model, text: str) -> list[str]:
 
 def count_pieces(path: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words, total = processor(path), Counter(), Counter()
+        model, words = processor(path), Counter()
+        total = np.zeros(model.get_piece_size(), np.int64)
 
         def settle() -> None:
             own = list(words)
-            for ids, n in zip(model.encode([w[1:].replace(SPACE, " ") for w in own], num_threads=1), words.values()):
-                for k in ids:
-                    total[k] += n
+            for first in range(0, len(own), 50_000):
+                part = own[first : first + 50_000]
+                ids = model.encode([w[1:].replace(SPACE, " ") if w.startswith(SPACE) else w for w in part], num_threads=1)
+                number = np.repeat([words[w] for w in part], [len(x) for x in ids])
+                total[:] += np.bincount(np.fromiter(chain.from_iterable(ids), np.int32, len(number)), number, len(total)).astype(np.int64)
             words.clear()
 
         for batch in rows:
@@ -70,7 +80,8 @@ def count_pieces(path: str):
             if len(words) > 300_000:
                 settle()
         settle()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["id", "n"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
     return run
 
@@ -103,12 +114,13 @@ class Vocabulary:
         self.spelled: dict[str, list[int]] = {}
         pieces = [self.model.id_to_piece(k) for k in usable]
         self.longest = max(map(len, pieces))
-        hashes = np.zeros(len(pieces), np.uint64)
+        points = np.zeros((len(pieces), self.longest), np.int64)
         for j, piece in enumerate(pieces):
-            h = np.zeros(1, np.uint64)
-            for c in piece:
-                h = _hash_steps(h, np.array([ord(c)]))
-            hashes[j] = mix(h)[0]
+            points[j, : len(piece)] = list(map(ord, piece))
+        hashes, size_of = np.zeros(len(pieces), np.uint64), np.array([len(x) for x in pieces])
+        for k in range(self.longest):
+            hashes = np.where(k < size_of, _hash_steps(hashes, points[:, k]), hashes)
+        hashes = mix(hashes)
         self.shift = np.uint64(64 - 17)
         self.slots = np.full(1 << 17, -1, np.int32)
         self.keys, self.ids = hashes, np.array(usable, np.int32)
@@ -137,59 +149,112 @@ class Vocabulary:
         return self.spelled[char]
 
 
-class Lattices:
-    """The lattices of distinct words as flat tables: a row for each state, a column for each length of a piece.
+#: Characters of texts that are sampled at once; a longer text alone.
+TOGETHER = 1 << 19
+#: States of a worker's lattices, beyond which it starts anew.
+KEPT_STATES = 1_500_000
 
-    States of a word are its characters in order; base is its first state, end one past its last."""
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
-        self.vocabulary, self.words = vocabulary, words
+class Lattices:
+    """The lattices of words as flat tables that grow with the words met.
+
+    A word's states are its characters in order, from `base` to `end`. The edges of state s, shorter pieces first, are
+    those from first[s] to first[s + 1]: piece (-1: the character's bytes), length in characters, log probability, and
+    upto, the probability of the edges up to this one."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.known: dict[str, int] = {}
+        self.base, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)
+        self.piece, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.log_prob, self.upto = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.unknown: dict[int, list[int]] = {}  # ids of the bytes, by edge
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word; new ones get their lattices."""
+        out = list(map(self.known.get, words))
+        if None in out:
+            missing = [k for k, x in enumerate(out) if x is None]
+            new = list(dict.fromkeys([words[k] for k in missing]))
+            self.known.update(zip(new, range(len(self.base), len(self.base) + len(new))))
+            self._add(new)
+            for k in missing:
+                out[k] = self.known[words[k]]
+        return np.array(out, np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        vocabulary, states, edges = self.vocabulary, len(self.first) - 1, len(self.piece)
         length = np.array([len(w) for w in words], np.int64)
-        self.end = np.cumsum(length)
-        self.base = self.end - length
-        self.text = "".join(words)
-        code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.cumsum(length)
+        text = "".join(words)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         n, width = len(code), min(vocabulary.longest, int(length.max(initial=1)))
-        stop = np.repeat(self.end, length)
-        self.piece = np.full((n, width), -1, np.int32)
-        weight = np.full((n, width), -np.inf, np.float32)
-        live, h = np.arange(n), np.zeros(n, np.uint64)
+        stop = np.repeat(end, length)
+        live, h, hits, count = np.arange(n), np.zeros(n, np.uint64), [], np.zeros(n, np.int64)
         for k in range(width):
-            inside = live + k < stop[live]
-            live, h = live[inside], h[inside]
+            if k:
+                inside = np.flatnonzero(live + k < stop[live])
+                live, h = live[inside], h[inside]
             h = _hash_steps(h, code[live + k])
             ids = vocabulary.find(mix(h))
-            self.piece[live, k] = ids
-            hit = ids >= 0
-            weight[live[hit], k] = vocabulary.weights[ids[hit]]
-        self.unknown: dict[int, list[int]] = {}
-        for s in np.flatnonzero(self.piece[:, 0] < 0).tolist():
-            ids = self.unknown[s] = vocabulary.byte_ids(self.text[s])
-            weight[s, 0] = vocabulary.weights[ids].sum()
+            hit = np.flatnonzero(ids >= 0)
+            own, ids = live[hit], ids[hit]
+            if k == 0:  # characters that are no piece
+                odd = np.flatnonzero(np.bincount(own, minlength=n) == 0)
+                own, ids = np.concatenate([own, odd]), np.concatenate([ids, np.full(len(odd), -1, np.int32)])
+            count[own] += 1
+            hits.append((own, ids))
+        first = np.concatenate([[0], np.cumsum(count)])
+        total_edges, at = int(first[-1]), first[:-1].copy()
+        piece, size = np.empty(total_edges, np.int32), np.empty(total_edges, np.int64)
+        for k, (own, ids) in enumerate(hits):  # shorter pieces first
+            piece[at[own]], size[at[own]] = ids, k + 1
+            at[own] += 1
+        weight = vocabulary.weights[piece]
+        for s in odd.tolist():
+            weight[first[s]] = vocabulary.weights[vocabulary.byte_ids(text[s])].sum()
         # Backward sums, one distance from the words' ends after the other.
-        total = np.zeros(n + 1)
-        order = np.argsort(length, kind="stable")
-        sorted_length, columns = length[order], np.arange(width)
-        for r in range(1, int(length.max(initial=0)) + 1):
-            rows = self.end[order[np.searchsorted(sorted_length, r) :]] - r
-            reach = min(width, r)
-            after = rows[:, None] + columns[:reach] + 1
-            last = np.zeros((len(rows), reach)) if reach < r else np.where(columns[:reach] == r - 1, 0.0, total[np.minimum(after, n)])
-            if reach < r:
-                last = total[after]
-            own = weight[rows, :reach] + last
-            top = own.max(1)
-            total[rows] = top + np.log(np.exp(own - top[:, None]).sum(1))
-            weight[rows, :reach] = own - total[rows][:, None]
-        self.log_prob = weight
-        self.sums = np.exp(weight).cumsum(1)
+        distance = stop - np.arange(n)
+        order = np.argsort(distance.astype(np.int16) if len(distance) and distance.max() < 1 << 15 else distance, kind="stable")
+        number = count[order]
+        ends = np.cumsum(number)
+        edge = np.repeat(first[order] - (ends - number), number) + np.arange(total_edges)
+        cut = np.searchsorted(distance[order], np.arange(1, int(length.max(initial=0)) + 2))
+        total, target = np.zeros(n + 1), np.repeat(np.arange(n), count) + size
+        for r, (low, high) in enumerate(zip(cut[:-1], cut[1:]), 1):
+            if low == high:
+                continue
+            begin = ends[low:high] - number[low:high]
+            own = edge[begin[0] : ends[high - 1]]
+            value = weight[own] + np.where(size[own] == r, 0.0, total[target[own]])
+            top = np.maximum.reduceat(value, begin - begin[0])
+            whole = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, number[low:high])), begin - begin[0]))
+            total[order[low:high]] = whole
+            weight[own] = value - np.repeat(whole, number[low:high])
+        log_prob = weight.astype(np.float32)
+        probability, upto, held = np.exp(log_prob, dtype=np.float64), np.empty(total_edges, np.float32), np.zeros(n)
+        for k in range(int(count.max(initial=0))):  # each state on its own, so that no other word changes its rounding
+            own = np.flatnonzero(count > k)
+            held[own] += probability[first[own] + k]
+            upto[first[own] + k] = held[own]
+        upto[first[1:] - 1] = np.inf
+        for s in odd.tolist():
+            self.unknown[edges + int(first[s])] = vocabulary.byte_ids(text[s])
+        join = lambda a, b: np.concatenate([a, b])
+        self.base, self.end = join(self.base, end - length + states), join(self.end, end + states)
+        self.first = join(self.first, first[1:] + edges)
+        self.piece, self.length = join(self.piece, piece), join(self.length, size.astype(np.int32))
+        self.log_prob, self.upto = join(self.log_prob, log_prob), join(self.upto, upto)
 
     def step(self, state: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-        """Lengths of the pieces drawn."""
-        sums = self.sums[state]
-        last = sums[:, -1]
-        place = np.minimum(uniform.astype(np.float32) * last, np.nextafter(last, np.float32(0)))
-        return (sums <= place[:, None]).sum(1) + 1
+        """Edges drawn."""
+        edge = self.first[state]
+        live = np.flatnonzero(self.upto[edge] <= uniform)
+        while len(live):
+            edge[live] += 1
+            live = live[self.upto[edge[live]] <= uniform[live]]
+        return edge
 
 
 def salted(key: np.ndarray, *salts) -> np.ndarray:
@@ -205,46 +270,35 @@ def uniforms(key: np.ndarray, *salts) -> np.ndarray:
     return ((salted(key, *salts) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-class Path:
-    """Steps of one segmentation of a text: word number, state, piece length, log probability of the step."""
-
-    def __init__(self, word: np.ndarray, state: np.ndarray, length: np.ndarray, log_prob: np.ndarray):
-        self.word, self.state, self.length, self.log_prob = word, state, length, log_prob
-
-
-def draw(lattices: Lattices, word_of: np.ndarray, base: np.ndarray, state: np.ndarray) -> Path:
-    """Segmentations of word instances: distinct word, hash for its random numbers, state to start from."""
-    live, count = np.arange(len(word_of)), 0
-    parts = []
+def draw(lattices: Lattices, word_of: np.ndarray, base: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segmentations of word instances: word, hash for its random numbers, state to start from. Instance and edge of each
+    step, by instance."""
+    live, count, parts, end = np.arange(len(word_of)), 0, [], lattices.end[word_of]
+    on = state < end
+    live, state, end, base = live[on], state[on], end[on], base[on]
     while len(live):
-        on = state < lattices.end[word_of[live]]
-        live, state = live[on], state[on]
-        if not len(live):
-            break
-        k = lattices.step(state, uniforms(base[live], count))
-        parts.append((live, np.full(len(live), count), state, k))
-        state = state + k
+        edge = lattices.step(state, uniforms(base, count))
+        parts.append((live, edge))
+        state = state + lattices.length[edge]
+        on = np.flatnonzero(state < end)
+        live, state, end, base = live[on], state[on], end[on], base[on]
         count += 1
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Path(none, none, none, np.zeros(0))
-    word, step, state, k = (np.concatenate(x) for x in zip(*parts))
-    # By word, then step: each word's steps stand together.
-    number = np.bincount(word, minlength=len(word_of))
-    at = (np.cumsum(number) - number)[word] + step
-    out = [np.empty(len(at), np.int64) for _ in range(3)]
-    for target, values in zip(out, (word, state, k)):
-        target[at] = values
-    return Path(*out, lattices.log_prob[out[1], out[2] - 1].astype(np.float64))
+    number = np.zeros(len(word_of), np.int64)
+    for own, _ in parts:
+        number[own] += 1
+    at, out = np.cumsum(number) - number, np.zeros(int(number.sum()), np.int64)
+    for step, (own, edge) in enumerate(parts):
+        out[at[own] + step] = edge
+    return np.repeat(np.arange(len(word_of)), number), out
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:
     """log(1 - exp(x)) for x <= 0."""
     with np.errstate(divide="ignore"):
-        return np.where(x > -0.693, np.log(-np.expm1(np.minimum(x, 0))), np.log1p(-np.exp(np.minimum(x, -0.693))))
+        return np.log(-np.expm1(np.minimum(x, 0.0)))
 
 
-def _cut_gumbel(place: np.ndarray, limit: float, uniform: np.ndarray) -> np.ndarray:
+def _cut_gumbel(place: np.ndarray, limit: np.ndarray | float, uniform: np.ndarray) -> np.ndarray:
     """Gumbel variables at `place`, given that they are under `limit`."""
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
         return np.where(np.isneginf(place), -np.inf, place - np.logaddexp(place - limit, np.log(-np.log(uniform))))
@@ -254,136 +308,203 @@ def _cut_gumbel(place: np.ndarray, limit: float, uniform: np.ndarray) -> np.ndar
 FAR = -60.0
 
 
-def top_segmentations(lattices: Lattices, word_of: np.ndarray, key: int, first: Path, k: int):
-    """Finds (path, log probability, perturbed value) of the k best segmentations of one text, and one more if there is.
-
-    first: the path that was drawn freely; word_of: the distinct word of each word of the text. A generator:
-    it yields (first word, state, salt) where a path is to be drawn freely to the text's end, is sent that path,
-    and returns the list. Many texts' paths can so be drawn at once."""
-    row = np.array([key], np.uint64)
-    value = float(-np.log(-np.log(uniforms(row, 1 << 40)[0])))
-    out: list[tuple[Path, float, float]] = []
-    queue: list[tuple[float, int, int, int, frozenset | None]] = []  # -value, order of entry, path, step, lengths used up besides the path's own (None: all sets from the step on)
-    entered = 0
-
-    def push(values: np.ndarray, parent: int, at: np.ndarray, used: dict) -> None:
-        nonlocal entered
-        some = np.flatnonzero(values > -np.inf)
-        if len(some) > k + 1:
-            some = some[np.argpartition(-values[some], k)[: k + 1]]
-        for j in some.tolist():
-            entered += 1
-            heapq.heappush(queue, (-float(values[j]), entered, parent, int(at[j]), used.get(j, frozenset())))
-
-    def settle(path: Path, limit: float, start: int, used: frozenset) -> None:
-        """Takes a path and puts the sets that it leaves aside from step `start` on into the queue."""
-        whole = float(path.log_prob.sum())
-        number, n = len(out), len(path.word)
-        out.append((path, whole, limit))
-        if start >= n or len(out) > k:
-            return
-        before = np.concatenate([[0.0], np.cumsum(path.log_prob)])[start:-1]
-        before = before[: int(np.searchsorted(-before, -FAR)) + 1]  # the steps that matter are few
-        stop = start + len(before)
-        aside = before + _log1mexp(path.log_prob[start:stop])
-        used = used | {int(path.length[start])}
-        mass = np.exp(lattices.log_prob[path.state[start]].astype(np.float64))
-        left = mass.sum() - sum(mass[x - 1] for x in used)
-        aside[0] = before[0] + np.log(left) if left > 1e-12 else -np.inf
-        if stop < n:
-            reached = before[-1] + float(path.log_prob[stop - 1])
-            aside = np.append(aside, reached + _log1mexp(np.array([whole - reached]))[0])
-        places = np.arange(start, start + len(aside))
-        push(_cut_gumbel(aside, limit, uniforms(row, (1 << 41) + number, places)), number, places, {0: used, stop - start: None})
-
-    settle(first, value, 0, frozenset())
-    while queue and len(out) <= k:
-        value, order, parent, at, used = heapq.heappop(queue)
-        old, number = out[parent][0], len(out)
-        if used is None:  # which of the far sets holds the maximum, and what the others have under it
-            far = np.sum(old.log_prob[:at]) + np.concatenate([[0.0], np.cumsum(old.log_prob[at:-1])]) + _log1mexp(old.log_prob[at:])
-            sums = np.exp(far - far.max()).cumsum()
-            values = _cut_gumbel(far, -value, uniforms(row, (1 << 44) + order, np.arange(len(far))))
-            values[int(np.searchsorted(sums, uniforms(row, (1 << 45) + order)[0] * sums[-1], "right"))] = -value
-            push(values, parent, np.arange(at, at + len(far)), {})
-            continue
-        used = used | {int(old.length[at])}
-        mass = np.exp(lattices.log_prob[old.state[at]].astype(np.float64))
-        mass[[x - 1 for x in used]] = 0
-        sums = mass.cumsum()
-        length = int(np.searchsorted(sums, uniforms(row, (1 << 42) + number)[0] * sums[-1], "right")) + 1
-        word, state = int(old.word[at]), int(old.state[at])
-        fresh = yield word, state + length, (1 << 43) + number
-        join = lambda a, x, b: np.concatenate([a[:at], [x], b])
-        path = Path(join(old.word, word, fresh.word + word), join(old.state, state, fresh.state), join(old.length, length, fresh.length), join(old.log_prob, lattices.log_prob[state, length - 1], fresh.log_prob))
-        settle(path, -value, at, used)
-    return out
+class Search:
+    """One text's samples so far, and a queue of the sets that they leave aside.
+
+    A sample: word number and edge of each step, log probability, perturbed value. A set in the queue: -value, order of
+    entry, sample, step, and lengths used up there besides the sample's own (None: all sets from that step on)."""
+
+    def __init__(self, key: np.uint64):
+        self.key, self.found, self.queue, self.entered = np.array([key], np.uint64), [], [], 0
 
+    def push(self, values, parent: int, steps, used: list) -> None:
+        for value, step, own in zip(values, steps, used):
+            if value > -np.inf:
+                self.entered += 1
+                heapq.heappush(self.queue, (-value, self.entered, parent, step, own))
 
-def ids_of(lattices: Lattices, path: Path) -> np.ndarray:
-    ids = lattices.piece[path.state, path.length - 1]
+    def pop(self, lattices: Lattices) -> tuple[float, int, int, frozenset] | None:
+        """Value, sample, step and used lengths of the best set; a far one is first told apart into its steps."""
+        while self.queue:
+            value, order, parent, at, used = heapq.heappop(self.queue)
+            if used is not None:
+                return -value, parent, at, used
+            log_prob = lattices.log_prob[self.found[parent][1]].astype(np.float64)
+            far = np.sum(log_prob[:at]) + np.concatenate([[0.0], np.cumsum(log_prob[at:-1])]) + _log1mexp(log_prob[at:])
+            sums = np.exp(far - far.max()).cumsum()
+            values = _cut_gumbel(far, -value, uniforms(self.key, (1 << 44) + order, np.arange(len(far))))
+            values[int(np.searchsorted(sums, uniforms(self.key, (1 << 45) + order)[0] * sums[-1], "right"))] = -value
+            self.push(values.tolist(), parent, range(at, at + len(far)), [frozenset()] * len(far))
+        return None
+
+    def best(self) -> float:
+        """The perturbed value of the best segmentation that is not among the samples."""
+        return -self.queue[0][0] if self.queue else -np.inf
+
+
+def settle(lattices: Lattices, searches: list[Search], paths: list[tuple], k: int, width: int = 128) -> None:
+    """Takes a path for each search and puts the sets that it leaves aside into its queue.
+
+    paths: word numbers, edges, value, step from which sets are left aside, lengths used up there (empty: the path's own
+    only). All searches are dealt with at once, `width` steps each; the few that need more come again."""
+    size = np.array([len(p[1]) for p in paths], np.int64)
+    end = np.cumsum(size)
+    log_prob = lattices.log_prob[np.concatenate([np.zeros(0, np.int64), *[p[1] for p in paths]])].astype(np.float64)
+    begin = end - size
+
+    def summed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums of ranges, each on its own, so that no other text changes their rounding."""
+        out, some = np.zeros(len(first)), np.flatnonzero(last > first)
+        if len(some):
+            out[some] = np.add.reduceat(np.append(log_prob, 0.0), np.column_stack([first[some], last[some]]).ravel())[::2]
+        return out
+
+    whole = summed(begin, end)
+    number = np.array([len(s.found) for s in searches], np.int64)
+    for search, path, total in zip(searches, paths, whole.tolist()):
+        search.found.append((path[0], path[1], total, path[2]))
+    key = np.concatenate([s.key for s in searches])
+    limit, start = np.array([p[2] for p in paths]), np.array([p[3] for p in paths], np.int64)
+    left, prefix = np.flatnonzero(start < size), summed(begin, begin + start)
+    while len(left):
+        own_start, own_size = start[left], size[left]
+        width = min(width, int((own_size - own_start).max()))
+        place = own_start[:, None] + np.arange(width + 1)
+        inside = place[:, :-1] < own_size[:, None]
+        lp = np.where(inside, log_prob[np.minimum(begin[left][:, None] + place[:, :-1], len(log_prob) - 1)], 0.0)
+        before = prefix[left][:, None] + np.concatenate([np.zeros((len(lp), 1)), np.cumsum(lp, 1)[:, :-1]], 1)
+        count = np.minimum((before > FAR).sum(1) + 1, own_size - own_start)  # the steps that matter are few
+        whole_window = (count <= width)
+        some = np.flatnonzero(whole_window)
+        rows, lp, before, count, place = left[some], lp[some], before[some], count[some], place[some]
+        aside = np.full((len(rows), width + 1), -np.inf)
+        near = np.arange(width) < count[:, None]
+        aside[:, :-1][near] = before[near] + _log1mexp(lp[near])
+        for x, j in enumerate(rows.tolist()):
+            if paths[j][4]:  # what the lengths used up leave of the first step
+                edge = int(paths[j][1][paths[j][3]])
+                mass, lengths = edges_of(lattices, edge)
+                rest = float(mass.sum() - sum(m for m, n in zip(mass.tolist(), lengths) if n in paths[j][4] or n == lattices.length[edge]))
+                aside[x, 0] = before[x, 0] + np.log(rest) if rest > 1e-12 else -np.inf
+        x = np.flatnonzero(start[rows] + count < size[rows])
+        reached = before[x, count[x] - 1] + lp[x, count[x] - 1]
+        aside[x, count[x]] = reached + _log1mexp(np.minimum(whole[rows[x]] - reached, 0.0))
+        far = np.full(len(rows), -1)
+        far[x] = count[x]
+        values = _cut_gumbel(aside, limit[rows][:, None], uniforms(key[rows][:, None], (1 << 41) + number[rows][:, None], place))
+        top = np.argpartition(-values, min(k, width), 1)[:, : k + 1] if width >= k else np.tile(np.arange(width + 1), (len(rows), 1))
+        best, steps = np.take_along_axis(values, top, 1).tolist(), np.take_along_axis(place, top, 1).tolist()
+        for j, value, step, column, apart in zip(rows.tolist(), best, steps, top.tolist(), far.tolist()):
+            used = [None if c == apart else (paths[j][4] | {int(lattices.length[paths[j][1][start[j]]])}) if c == 0 else frozenset() for c in column]
+            searches[j].push(value, int(number[j]), step, used)
+        left, width = left[~whole_window], width * 4
+
+
+def edges_of(lattices: Lattices, edge: int) -> tuple[np.ndarray, list[int]]:
+    """Probabilities and lengths of all edges of the state that an edge leaves."""
+    state = int(np.searchsorted(lattices.first, edge, "right")) - 1
+    low, high = lattices.first[state], lattices.first[state + 1]
+    return np.exp(lattices.log_prob[low:high].astype(np.float64)), lattices.length[low:high].tolist()
+
+
+def ids_of(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
+    ids = lattices.piece[edges]
     odd = np.flatnonzero(ids < 0)
     if not len(odd):
         return ids
     parts, at = [], 0
     for j in odd.tolist():
-        parts += [ids[at:j], np.array(lattices.unknown[int(path.state[j])], np.int32)]
+        parts += [ids[at:j], np.array(lattices.unknown[int(edges[j])], np.int32)]
         at = j + 1
     return np.concatenate([*parts, ids[at:]])
 
 
-def sample_texts(vocabulary: Vocabulary, keys: list, texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def row_key(seed: int, key) -> int:
+    """64 bits that stand for a row in all random numbers."""
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def sample_texts(lattices: Lattices, keys: list, texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best first: ids, log probability, perturbed value, log inclusion probability."""
-    split = [words_of(vocabulary.model, t) for t in texts]
-    code: dict[str, int] = {}
-    word_of = np.array([code.setdefault(w, len(code)) for words in split for w in words], np.int64)
-    lattices = Lattices(vocabulary, list(code))
+    split = [words_of(lattices.vocabulary.model, t) if t else [] for t in texts]
+    if len(lattices.first) > KEPT_STATES:
+        lattices.__init__(lattices.vocabulary)
+    word_of = lattices.numbers(list(chain.from_iterable(split)))
     sizes = np.array([len(x) for x in split], np.int64)
     ends = np.cumsum(sizes)
-    key = np.array([zlib.crc32(f"{seed}:{x}".encode()) for x in keys], np.uint64)
     starts = ends - sizes
+    key = np.array([row_key(seed, x) for x in keys], np.uint64)
+    hashed = salted(key, 0)
 
-    def drawn(rows: list[int], words: list[int], states: list[int | None], salt: np.ndarray) -> list[Path]:
-        """Free paths of texts from a word and state on, all at once."""
+    def drawn(rows: np.ndarray, words: np.ndarray, states: np.ndarray, salt: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Free paths of texts from a word and state (-1: the word's first) on, all at once: word numbers and edges."""
         first = starts[rows] + words
         n = ends[rows] - first
         at = np.cumsum(n) - n
         place = np.arange(int(n.sum())) - np.repeat(at - first, n)
         own = word_of[place]
         state = lattices.base[own]
-        for j, x in enumerate(states):
-            if x is not None:
-                state[at[j]] = x
-        text = np.repeat(np.array(rows, np.int64), n)
-        whole = draw(lattices, own, salted(salted(key, 0)[text], np.repeat(salt, n), place - starts[text]), state)
-        low = np.searchsorted(whole.word, np.append(at, len(own)))
-        return [Path(whole.word[a:b] - at[j], whole.state[a:b], whole.length[a:b], whole.log_prob[a:b]) for j, (a, b) in enumerate(zip(low[:-1], low[1:]))]
-
-    everyone = list(range(len(texts)))
-    free = drawn(everyone, [0] * len(texts), [None] * len(texts), np.zeros(len(texts), np.int64))
-    searches = [top_segmentations(lattices, word_of[starts[j] : ends[j]], int(key[j]), free[j], k) for j in everyone]
-    found: list = [None] * len(texts)
-    sent: dict[int, Path | None] = dict.fromkeys(everyone)
-    while sent:
-        asked = {}
-        for j, path in sent.items():
-            try:
-                asked[j] = searches[j].send(path)
-            except StopIteration as end:
-                found[j] = end.value
-        rows = list(asked)
-        sent = dict(zip(rows, drawn(rows, *(list(x) for x in zip(*((w, s) for w, s, _ in asked.values()))), np.array([x for _, _, x in asked.values()])))) if rows else {}
+        state[at[states >= 0]] = states[states >= 0]
+        text = np.repeat(rows, n)
+        instance, edge = draw(lattices, own, salted(hashed[text], np.repeat(salt, n), place - starts[text]), state)
+        low = np.searchsorted(instance, np.append(at, len(own)))
+        number = (place - starts[text])[instance]
+        return [(number[a:b], edge[a:b]) for a, b in zip(low[:-1], low[1:])]
+
+    searches = [Search(x) for x in key]
+    rows = np.arange(len(texts))
+    none = np.zeros(len(texts), np.int64)
+    value = -np.log(-np.log(uniforms(key, 1 << 40)))
+    paths = [(w, e, v, 0, frozenset()) for (w, e), v in zip(drawn(rows, none, none - 1, none), value.tolist())] if len(texts) else []
+    for rank in range(k):
+        if not len(rows):
+            break
+        settle(lattices, [searches[j] for j in rows], paths, k)
+        if rank == k - 1:
+            break
+        popped = [(j, searches[j].pop(lattices)) for j in rows.tolist()]
+        popped = [(j, x) for j, x in popped if x is not None]
+        rows = np.array([j for j, _ in popped], np.int64)
+        number = np.array([len(searches[j].found) for j in rows], np.int64)
+        chosen, asked = [], []
+        for (j, (_, parent, at, used)), u in zip(popped, uniforms(key[rows], (1 << 42) + number).tolist()):
+            words, edges, _, _ = searches[j].found[parent]
+            edge = int(edges[at])
+            mass, lengths = edges_of(lattices, edge)
+            used = used | {int(lattices.length[edge])}
+            sums = np.where([n in used for n in lengths], 0.0, mass).cumsum()
+            state = int(np.searchsorted(lattices.first, edge, "right")) - 1
+            picked = min(int(np.searchsorted(sums, u * sums[-1], "right")), len(sums) - 1)
+            chosen.append((int(lattices.first[state]) + picked, used))
+            asked.append((int(words[at]), state + lengths[picked]))
+        paths = []
+        if popped:
+            word, state = (np.array(x, np.int64) for x in zip(*asked))
+            for (j, (best, parent, at, _)), (edge, used), w, (words, edges) in zip(popped, chosen, word.tolist(), drawn(rows, word, state, (1 << 43) + number)):
+                old_words, old_edges, _, _ = searches[j].found[parent]
+                paths.append((np.concatenate([old_words[:at], [w], words]), np.concatenate([old_edges[:at], [edge], edges]), best, at, used))
     out = []
-    for own in found:
-        kappa = own[k][2] if len(own) > k else -np.inf
-        samples = []
-        for path, log_prob, value in own[:k]:
+    for search in searches:
+        kappa, samples = search.best() if len(search.found) == k else -np.inf, []
+        for _, edges, log_prob, value in search.found:
             over = np.exp(min(log_prob - kappa, 50.0))
-            samples.append((ids_of(lattices, path), log_prob, value, float(np.log(-np.expm1(-over))) if over > 1e-12 else log_prob - kappa))
+            samples.append((ids_of(lattices, edges), log_prob, value, float(np.log(-np.expm1(-over))) if over > 1e-12 else log_prob - kappa))
         out.append(samples)
     return out
 
 
+_LATTICES: dict[tuple[str, str], Lattices] = {}
+
+
+def _lattices(path: str, weights: np.ndarray) -> Lattices:
+    """One for each Python worker and table of weights, kept between its tasks."""
+    name = (path, hashlib.blake2b(weights.tobytes(), digest_size=8).hexdigest())
+    if name not in _LATTICES:
+        _LATTICES.clear()
+        _LATTICES[name] = Lattices(Vocabulary(path, weights))
+    return _LATTICES[name]
+
+
 SAMPLES = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 
@@ -392,11 +513,11 @@ def sample(docs: DataFrame, path: str, weights: np.ndarray, k: int = 3, seed: in
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path, shared.value)
+        lattices = _lattices(path, shared.value)
         for batch in rows:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for first, last in text_batches(texts):
-                found = sample_texts(vocabulary, keys[first:last], texts[first:last], k, seed)
+            for first, last in text_batches(texts, TOGETHER):
+                found = sample_texts(lattices, keys[first:last], texts[first:last], k, seed)
                 flat = [(key, r + 1, *s) for key, samples in zip(keys[first:last], found) for r, s in enumerate(samples)]
                 ends = np.concatenate([[0], np.cumsum([len(x[2]) for x in flat])]).astype(np.int32)
                 ids = np.concatenate([np.zeros(0, np.int32), *[x[2] for x in flat]]).astype(np.int32)
