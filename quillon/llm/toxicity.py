@@ -13,7 +13,7 @@
 The sample: at most `fit_rows` labelled rows of each kind, those with the smallest hashes of their ids.
 Labels, language, source and id are never inputs of a score.
 
-Defined results: null texts count as empty and get the score of a text without any weighted word;
+Defined results: texts of any length are scored whole; an unbroken token takes time in proportion to its length; null texts count as empty and get the score of a text without any weighted word;
 with labels of one kind only, or none, every score is the smoothed share of toxic rows; repeated rows are
 scored each. Other columns do no harm.
 """
@@ -105,8 +105,8 @@ class Restorer:
     def decode(self, word: str) -> str:
         """The cheapest path through the lattice of the word's intended letters."""
         costs = self.costs
-        # Paths by their last two symbols: cost, letters so far; `last` is the last letter, for repeats.
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # Paths by their last two symbols: cost, and letters so far as a chain (letters before, last letter).
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         run, before = 0, ""
         for char in word:
             run = run + 1 if char == before else 0
@@ -114,8 +114,8 @@ class Restorer:
             again = MORE if run > 1 else AGAIN
             signs = LEET.get(char, "")
             letter = char.isalpha()
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, so_far) in paths.items():
                 steps = []
                 if letter:
                     steps.append((char, SAME))
@@ -125,17 +125,19 @@ class Restorer:
                     k = _symbol(s)
                     now = cost + price + costs[a][b][k]
                     if now < after.get((b, k), (np.inf,))[0]:
-                        after[b, k] = (now, text + s)
-                    if text and text[-1] == s:  # the same letter once more
+                        after[b, k] = (now, (so_far, s))
+                    if so_far is not None and so_far[1] == s:  # the same letter once more
                         now = cost + again
                         if now < after.get((a, b), (np.inf,))[0]:
-                            after[a, b] = (now, text)
+                            after[a, b] = (now, so_far)
                 if not letter:
                     now = cost + (BETWEEN if char in APART else IDLE)
                     if now < after.get((a, b), (np.inf,))[0]:
-                        after[a, b] = (now, text)
+                        after[a, b] = (now, so_far)
             paths = after
-        return min(((cost + costs[a][b][0], text) for (a, b), (cost, text) in paths.items()))[1]
+        ends = [(cost + costs[a][b][0], so_far) for (a, b), (cost, so_far) in paths.items()]
+        least = min(cost for cost, _ in ends)
+        return min(_spelled(so_far) for cost, so_far in ends if cost == least)
 
     def forms(self, token: str) -> tuple[str, ...]:
         """The word itself and, where it differs, the restored one; a token with white space was spelled out."""
@@ -155,6 +157,14 @@ class Restorer:
         return (word, meant) if meant != word and meant else (word,)
 
 
+def _spelled(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(reversed(out))
+
+
 def _symbol(letter: str) -> int:
     point = ord(letter)
     return int(_SYMBOL_OF[point]) if point < len(_SYMBOL_OF) else 60
@@ -279,10 +289,10 @@ class ToxicityModel:
         return score
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, target: str = "toxic", fit_rows: int = 8000, most_features: int = 60_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, target: str = "toxic", fit_rows: int = 8000) -> ToxicityModel:
     """docs: doc_id, text, all of them. labels: doc_id and the target of the rows to learn from.
 
-    fit_rows: most labelled rows of each kind; most_features: most features whose counts reach the driver."""
+    fit_rows: most labelled rows of each kind. The driver gets the counts of all features that three of them share."""
     spark = docs.sparkSession
     costs = letter_model(docs)
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
@@ -294,7 +304,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, target: str = "t
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
     shared = spark.sparkContext.broadcast(costs)
     sample = in_arrow(texts, sample_words(shared), "y int, low long, high long, n long, words array<string>")
-    sample = scratch.write(sample, "sample").dropDuplicates(["low"]).dropDuplicates(["high"])
+    sample = scratch.write(sample, "sample")
+    for one, other in (("low", "high"), ("high", "low")):  # of rows that share a sketch the least one stays
+        sample = sample.groupBy(one).agg(F.min(F.struct("y", other, "n", "words")).alias("least")).select(one, "least.*")
     sample = scratch.write(sample.withColumn("half", (F.pmod(F.xxhash64("low"), F.lit(2))).cast("int")), "distinct")
     size = {(r["half"], r["y"]): r["n"] for r in sample.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = {y: sum(n for (_, k), n in size.items() if k == y) for y in (0, 1)}
@@ -305,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, target: str = "t
     schema = "feature string, half int, y int, n long"
     toxic = in_arrow(sample.filter("y = 1").select("y", "half", "words"), count_features(None), schema)
     toxic = toxic.groupBy("feature").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"t{h}") for h in (0, 1)])
-    toxic = toxic.filter("t0 + t1 >= 3").orderBy((F.col("t0") + F.col("t1")).desc(), "feature").limit(most_features).toPandas()
+    toxic = toxic.filter("t0 + t1 >= 3").orderBy("feature").toPandas()
     wanted = spark.sparkContext.broadcast(set(toxic["feature"]))
     other = in_arrow(sample.filter("y = 0").select("y", "half", "words"), count_features(wanted), schema)
     other = other.groupBy("feature").agg(*[F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"o{h}") for h in (0, 1)]).toPandas()
