@@ -3,13 +3,15 @@
 Documents with equal texts form a group that stays together. Groups are taken from the largest to the smallest,
 each goes to the least-loaded shard, which a heap gives. Groups of one size are alike to the
 schedule, so it runs over sizes and how often each occurs: a run of n equal groups costs the driver as
-much as a few. A million sizes and more are possible; sizes over 2**17 count as equal if their first 17
-bits are, so there are at most 2**17 + 2**16 * 46 runs at any input size.
+much as a few. Sizes are exact. n different sizes need more than n * n / 2 bytes of text, so the driver holds at most
+sqrt(2 * bytes) runs: 14 million for 100 TB, as arrays of numbers.
 
 Groups of one run are told apart by their position in the order of (size, text hash), which is found without
 one task that sees all groups.
 
-Defined results: a null text has size 1 and crc32 0, and all null texts form one group, as do all empty texts;
+A popular text's rows meet its group in a join that Spark splits where a partition is skewed; nothing gathers them.
+
+Defined results: a text of any length counts by its bytes; a null text has size 1 and crc32 0, and all null texts form one group, as do all empty texts;
 rows without an id are placed too, first in their shard; rows that repeat an id are placed each; an
 empty table gives an empty result; other columns do no harm.
 """
@@ -19,44 +21,30 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, global_index
 
-EXACT_BITS = 17
-
-
-def size_class(size: Column) -> Column:
-    """The size, with all but its first EXACT_BITS bits set to zero."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(size)).cast("int") + 1 - EXACT_BITS)
-    return F.call_function("shiftleft", F.call_function("shiftright", size, shift), shift)
-
-
-def schedule(runs: list[tuple[int, int, int]], shards: int) -> np.ndarray:
-    """runs: (size class, groups, their whole size), largest first. Groups of each run for each shard.
+def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> np.ndarray:
+    """sizes: different ones, largest first; counts: groups of each. Groups of each size for each shard.
 
-    While a run has many groups left they go to all shards alike, once the loads differ by less than one of them."""
-    loads = [(0.0, s) for s in range(shards)]
-    heapq.heapify(loads)
-    out = np.zeros((len(runs), shards), np.int64)
-    for k, (_, count, whole) in enumerate(runs):
-        each = whole / count
+    While a size has many groups left they go to all shards alike, once the loads differ by no more than one of them."""
+    loads = [(0, s) for s in range(shards)]
+    out = np.zeros((len(sizes), shards), np.int64)
+    for k, (each, count) in enumerate(zip(sizes.tolist(), counts.tolist())):
         while count:
-            low, high = loads[0][0], max(x for x, _ in loads) if count >= shards else None
-            if high is not None and high - low <= each:
+            if count >= shards and max(x for x, _ in loads) - loads[0][0] <= each:
                 turns = count // shards
                 out[k] += turns
                 loads = [(x + turns * each, s) for x, s in loads]
                 heapq.heapify(loads)
                 count -= turns * shards
-                if not count:
-                    break
-                low = loads[0][0]
+                continue
             # The least-loaded shard takes what brings it level with the next one, one group at least.
             load, s = heapq.heappop(loads)
-            above = loads[0][0] if loads else load + each * count
-            take = min(count, max(1, int((above - load) // each)))
+            take = min(count, max(1, (loads[0][0] - load) // each)) if loads else count
             out[k, s] += take
             heapq.heappush(loads, (load + take * each, s))
             count -= take
@@ -73,16 +61,14 @@ def assign(docs: DataFrame, scratch: Scratch, shards: int = 8, doc_id: str = "do
     )
     rows = scratch.write(rows, "rows")
     groups = rows.groupBy("group").agg(F.sum("size").alias("whole"))
-    groups = global_index(groups.withColumn("kind", size_class(F.col("whole"))), [F.col("kind").desc(), F.col("group")], "position", scratch)
+    groups = global_index(groups, [F.col("whole").desc(), F.col("group")], "position", scratch)
     groups = scratch.write(groups, "groups")
-    runs = sorted(((r["kind"], r["n"], r["whole"]) for r in groups.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).collect()), reverse=True)
-    plan = schedule(runs, shards)
-    first, table = 0, []
-    for (kind, n, _), share in zip(runs, plan):
-        table.append((kind, (first + np.cumsum(share)).tolist()))
-        first += n
-    table = spark.createDataFrame(table, "kind long, ends array<long>")
-    placed = groups.join(table, "kind").select("group", F.size(F.filter("ends", lambda end: end <= F.col("position"))).alias("shard"))
+    runs = groups.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("whole", "descending")])
+    sizes, counts = runs["whole"].to_numpy(), runs["n"].to_numpy()
+    ends = (np.cumsum(counts) - counts)[:, None] + np.cumsum(schedule(sizes, counts, shards), 1)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(ends.ravel()), shards).cast(pa.list_(pa.int64()))
+    table = spark.createDataFrame(pa.table({"whole": pa.array(sizes, pa.int64()), "ends": lists}), "whole long, ends array<long>")
+    placed = groups.join(table, "whole").select("group", F.size(F.filter("ends", lambda end: end <= F.col("position"))).alias("shard"))
     rows = rows.join(placed, "group").select("doc_id", "size", "text_crc32", "shard")
     # The other columns make ties between equal ids fixed.
     rows = scratch.write(global_index(rows, [F.col("shard"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", scratch), "placed")
