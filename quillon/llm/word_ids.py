@@ -4,6 +4,9 @@ Both vocabularies split a text where a single space stands between two other cha
 (byte-level: the space belongs to the next word) or at white space (word-level: it is dropped)
 before anything else, so a text's ids are its words' ids one after the other. Other
 runs of white space are left whole for the library.
+
+The ids are those of the library's plain call with add_special_tokens=False. That call finds the vocabulary's added tokens
+in a text before all else, so a text that holds one goes to the library whole.
 """
 
 from __future__ import annotations
@@ -40,7 +43,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Added tokens as they stand in a text, and those that are looked for in the normalised text.
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.added_lower = [t.content.lower() for t in added if t.normalized]
         self.space_leads = space_leads
         #: By word; where the space leads, `kept` has words after a space, `bare` the first words of texts.
         self.kept: dict[str, bytes] = {}
@@ -105,6 +111,9 @@ class WordIds:
         open_: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         wanted, wanted_first = set(), set()
         for text in texts:
+            if any(x in text for x in self.added) or self.added_lower and any(x in text.lower() for x in self.added_lower):
+                out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())
+                continue
             words = self._words(text)
             parts = list(map(kept.get, words))
             parts[0] = first.get(words[0])

@@ -196,3 +196,36 @@ def test_spelled_out_words_end_anywhere(spark):
 def test_statistics_batches_accept_null_columns():
     batch = pa.RecordBatch.from_arrays([pa.array([None, None], pa.string())], ["text"])
     assert L.predict(batch.column(0), L.freeze({}))[0].tolist() == ["und", "und"]
+
+
+def exhaustive_decoding(costs, word):
+    """The cheapest of all readings of a word, each one written out."""
+    found = []
+
+    def go(at, cost, text, a, b, run):
+        if at == len(word):
+            found.append((cost + float(costs[a][b][0]), text))
+            return
+        char = word[at]
+        run = run + 1 if at and char == word[at - 1] else 0
+        for s, price in [(char, T.SAME)] * char.isalpha() + [(s, T.SIGN) for s in T.LEET.get(char, "")]:
+            k = T._symbol(s)
+            go(at + 1, cost + price + float(costs[a][b][k]), text + s, b, k, run)
+            if text and text[-1] == s:
+                go(at + 1, cost + (T.MORE if run > 1 else T.AGAIN), text, a, b, run)
+        if not char.isalpha():
+            go(at + 1, cost + (T.BETWEEN if char in T.APART else T.IDLE), text, a, b, run)
+
+    go(0, 0.0, "", 0, 0, 0)
+    return min(found)
+
+
+def test_decoding_is_exhaustive_search():
+    r = random.Random(4)
+    costs = np.random.default_rng(4).random((T.SYMBOLS,) * 3).astype(np.float32) * 6
+    restorer = T.Restorer(costs)
+    for _ in range(400):
+        word = "".join(r.choice("aabl1!5$-.6#ss") for _ in range(r.randint(1, 7)))
+        cost, text = exhaustive_decoding(costs, word)
+        assert restorer.decode(word) == text, (word, cost)
+    assert restorer.decode("") == "" and len(restorer.decode("ab1-" * 50_000)) > 50_000

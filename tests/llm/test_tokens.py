@@ -25,14 +25,13 @@ def library_ids(path, texts):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     return [x.ids for x in library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize(("path", "leads"), [(BYTE, True), (WORD, False)])
 def test_word_ids_are_the_librarys(path, leads, odd_rows, prose_of):
     r = random.Random(1)
-    parts = [" ", "  ", "\n", " \n", "\n ", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "　", "a", "Bc", "'s", "é", "É", "ß", "1", "22", ".", "!?", "_", "<|endoftext|>", "日本", "́", "İ", "ﬁ", "Σ", "x'"]
+    parts = [" ", "  ", "\n", " \n", "\n ", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "　", "a", "Bc", "'s", "é", "É", "ß", "1", "22", ".", "!?", "_", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "日本", "́", "İ", "ﬁ", "Σ", "x'"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [t or "" for _, t in odd_rows] + [prose_of(r, "bb", 50) for _ in range(20)]
     words = WordIds(path, leads)
     want = [array("I", x).tobytes() for x in library_ids(path, texts)]
@@ -160,7 +159,7 @@ def test_samples_follow_the_lattice(text):
     vocabulary = G.Vocabulary(PIECE, weights)
     exact = all_segmentations(vocabulary, text)
     n, k = 2500, 2
-    found = G.sample_texts(vocabulary, list(range(n)), [text] * n, k, 5)
+    found = G.sample_texts(G.Lattices(vocabulary), list(range(n)), [text] * n, k, 5)
     first, seen = Counter(), Counter()
     for samples in found:
         ids = [tuple(x[0].tolist()) for x in samples]
@@ -176,10 +175,22 @@ def test_samples_follow_the_lattice(text):
     assert weighted == pytest.approx(1.0, abs=0.06)
 
 
+def test_samples_do_not_depend_on_the_batch(prose_of, monkeypatch):
+    r = random.Random(3)
+    texts = [prose_of(r, "aa", n) for n in (3, 400, 20, 60, 1)] + ["", "x" * 3000, " a  b ", "日本語 𒀀𒀀"]
+    vocabulary = G.Vocabulary(PIECE, np.log(np.random.default_rng(2).random(32_000) * 0.01 + 0.001))
+    plain = lambda found: [[(x[0].tolist(), *x[1:]) for x in samples] for samples in found]
+    whole = plain(G.sample_texts(G.Lattices(vocabulary), list(range(9)), texts, 4, 1))
+    kept = G.Lattices(vocabulary)
+    monkeypatch.setattr(G, "KEPT_STATES", 900)
+    one_by_one = {k: plain(G.sample_texts(kept, [k], [texts[k]], 4, 1))[0] for k in reversed(range(9))}
+    assert [one_by_one[k] for k in range(9)] == whole
+
+
 def test_far_sets_are_opened(monkeypatch):
     vocabulary = G.Vocabulary(PIECE, np.log(np.full(32_000, 1 / 32_000)))
     monkeypatch.setattr(G, "FAR", -0.01)
-    found = G.sample_texts(vocabulary, [1, 2], ["the cat", "a b"], 500, 1)
+    found = G.sample_texts(G.Lattices(vocabulary), [1, 2], ["the cat", "a b"], 500, 1)
     exact = [all_segmentations(vocabulary, t) for t in ("the cat", "a b")]
     assert [len({tuple(x[0].tolist()) for x in s}) for s in found] == [len(x) for x in exact]
 
@@ -256,9 +267,9 @@ def test_bounds_from_elsewhere_prune_whole_trees():
 
 def test_schedule_is_that_of_a_heap():
     random_ = np.random.default_rng(1)
-    for sizes in (random_.integers(1, 50, 3000), np.append(random_.integers(1, 2000, 300), 100_000), random_.zipf(1.5, 1000) % 9000 + 1, np.full(17, 3), np.array([5])):
+    for sizes in (random_.integers(1, 50, 3000), np.append(random_.integers(1, 2000, 300), 100_000), random_.zipf(1.5, 1000) % 9000 + 1, np.full(17, 3), np.array([5]), np.append(random_.integers(1 << 17, 1 << 22, 200), [(1 << 40) + 1, 1 << 40, (1 << 17) + 1])):
         values, counts = np.unique(sizes, return_counts=True)
-        plan = H.schedule([(int(v), int(n), int(v * n)) for v, n in zip(values[::-1], counts[::-1])], 8)
+        plan = H.schedule(values[::-1], counts[::-1], 8)
         assert (plan.sum(1) == counts[::-1]).all()
         heap = [(0, s) for s in range(8)]
         for x in sorted(sizes.tolist(), reverse=True):
