@@ -15,7 +15,9 @@
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without
 a label or an id, link with nothing (n_links 0, component_id their own id, kept true). Vectors of different
-lengths never link. Rows that repeat an id with the same vector count once and are all returned.
+lengths never link, nor do 0.0 and -0.0 make one class. Rows that repeat an id with the same vector count once and are all
+returned. An id with several vectors is all of them: it has the links of the one with most, and the smallest of their
+components. A vector of any length is compared whole.
 An empty table gives an empty result; other columns do no harm.
 """
 
@@ -31,16 +33,20 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, in_arrow, in_blocks
 
-WINDOW, BITS, BLOCK = 64, 62, 1024
+WINDOW, BITS, BLOCK = 64, 62, 4096
+#: Rows of a block that meet another block at once.
+ROWS = 512
 
 
 def vectors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, array of doubles) to (vec_id, label, size, doubles as bytes) of the vectors that can link."""
+    """(vec_id, label, array of numbers) to (vec_id, label, size, bytes) of the vectors that can link: floats as floats, all
+    else as doubles. Lengths tell the two apart."""
     for batch in rows:
+        kind = np.float32 if pa.types.is_float32(batch.column(2).type.value_type) else np.float64
         lists = batch.column(2)
         if not len(lists):
             continue
-        values, offsets = np.asarray(lists.values.fill_null(np.nan), np.float64), np.asarray(lists.offsets, np.int64)
+        values, offsets = np.asarray(lists.values.fill_null(np.nan), kind), np.asarray(lists.offsets, np.int64)
         good = np.asarray(pc.and_(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()), lists.is_valid())).copy()
         out: tuple[list, ...] = ([], [], [], [])
         ids, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -54,7 +60,8 @@ def vectors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def unit(column: pa.Array, size: int) -> np.ndarray:
     """Rows of length 1, in double precision."""
-    v = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
+    raw = b"".join(column.to_pylist())
+    v = np.frombuffer(raw, np.float32 if len(raw) == 4 * size * len(column) else np.float64).reshape(-1, size).astype(np.float64)
     v = v / np.abs(v).max(1, keepdims=True)  # very large and very small components keep their precision
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
@@ -217,16 +224,16 @@ def count_links(threshold: float):
         v = unit(held["vector"], held["size"][0].as_py())
         block = held["block"].to_numpy()
         low, high = held["low"][0].as_py(), held["high"][0].as_py()
-        if low == high:
-            links = (v @ v.T >= threshold) @ weight
-            links -= weight  # not with itself, whatever its own rounding
-            own = np.einsum("ij,ij->i", v, v) < threshold
-            links[own] += weight[own]
-        else:
-            x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            near = v[x] @ v[y].T >= threshold
-            links = np.zeros(len(ids), weight.dtype)
-            links[x], links[y] = near @ weight[y], near.T @ weight[x]
+        links = np.zeros(len(ids), weight.dtype)
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        for first in range(0, len(x), ROWS):
+            own = x[first : first + ROWS]
+            near = v[own] @ v[y].T >= threshold
+            if low == high:  # not with itself
+                near[np.arange(len(own)), first + np.arange(len(own))] = False
+            else:
+                links[y] += near.T @ weight[own]
+            links[own] += near @ weight[y]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64))], ["class_id", "links"])
 
     return in_blocks(tell, ["component", "low", "high"])
@@ -239,8 +246,11 @@ def block_links(threshold: float):
         ids, block = held["class_id"].to_numpy(), held["block"].to_numpy()
         v = unit(held["vector"], held["size"][0].as_py())
         x, y = np.flatnonzero(block == held["low"][0].as_py()), np.flatnonzero(block == held["high"][0].as_py())
-        one, two = np.nonzero(v[x] @ v[y].T >= threshold)
-        low = forest(len(ids), x[one], y[two])
+        low = np.arange(len(ids))
+        for first in range(0, len(x), ROWS):
+            one, two = np.nonzero(v[x[first : first + ROWS]] @ v[y].T >= threshold)
+            some = np.flatnonzero(low != np.arange(len(ids)))
+            low = forest(len(ids), np.concatenate([some, x[first + one]]), np.concatenate([low[some], y[two]]))
         linked = np.flatnonzero(low != np.arange(len(ids)))
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[low[linked]])], ["a", "b"])
 
@@ -270,7 +280,8 @@ def partitions(rows: int, window: int, most: int) -> int:
 
 def near_duplicates(embeddings: DataFrame, scratch: Scratch, threshold: float = 0.93, window: int = WINDOW, miss: float = 1e-6, seed: int = 11) -> DataFrame:
     """A row for each row of embeddings (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
-    source = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    numbers = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    source = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(numbers).alias("embedding"))
     usable = in_arrow(source, vectors, "vec_id long, label long, size int, vector binary").dropDuplicates()
     usable = scratch.write(usable, "vectors")
     classes = usable.groupBy("label", "size", "vector").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
