@@ -3,14 +3,17 @@
 Vectors are dealt to shards of about SHARD rows by a hash of their ids. A shard's tree splits at the median of the
 widest dimension down to LEAF rows; each node has a tight bounding box. The largest inner product that a box
 allows a query is the sum of the larger of q * low and q * high; nodes are visited best first, and a
-subtree goes unseen once that bound is under the k-th score so far. Queries travel in blocks. Each block first
-searches one shard; the k-th scores found there travel with it to all other shards.
+subtree goes unseen once that bound is under the k-th score so far. Queries travel to the trees in blocks. Each block first
+searches one shard; the k-th scores found there travel with it to all other shards. CHUNK blocks share one copy of a
+tree, which is read once for them; every query meets every shard, as an exact search must, and what leaves a shard is
+at most k rows for each query.
 
 Scores are exact integers: components are floor(scale * x), and products are computed in double precision
 where all sums stay under 2**53, else in Python's integers (scores beyond a long are set to its limits).
 
 Defined results: vectors that are null, empty, or hold null or non-finite components, and rows without an id
-take no part. Rows that repeat an id with the same vector count once. Vectors of different lengths do
+take no part. Rows that repeat an id with the same vector count once; an id with several vectors asks for each of them, and
+is found once for each of them. A vector of any length is searched whole. Vectors of different lengths do
 not meet. Ties go to the smaller id. An empty table gives an empty result; other columns do no harm.
 """
 
@@ -30,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, in_arrow
 
 SHARD, LEAF, QUERIES, TOGETHER = 16_384, 64, 512, 8
+#: Blocks of queries that visit a tree one after the other: about the tree's own size.
+CHUNK = 8
+#: Tasks of a search have a chunk each, up to this many tasks.
+MOST_PARTITIONS = 100_000
 
 
 def quantised(scale: float):
@@ -165,20 +172,26 @@ def plant(key, held):
 
 def gathered(key, held):
     """A block's queries to one row."""
-    parts = [held["vec_id"].to_numpy(), _matrix(held["vector"], held["size"][0].as_py()), held["bound"].to_numpy()]
+    queries = _matrix(held["vector"], held["size"][0].as_py())
+    small = np.int16 if np.abs(queries).max() < 32_768 else np.float64
+    parts = [held["vec_id"].to_numpy(), queries.astype(small), held["bound"].to_numpy()]
     return pa.table({"size": held["size"].slice(0, 1), "block": held["block"].slice(0, 1), "queries": pa.array([pickle.dumps(parts)], pa.binary())})
 
 
 def visit(k: int):
-    """(tree, queries) to (query_id, vec_id, score)."""
+    """Rows (place, held), a tree at place 0 and blocks of queries after it, to (query_id, vec_id, score)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in rows:
-            for held, sent in zip(batch.column(0), batch.column(1)):
+            for place, held in zip(batch.column(0).to_pylist(), batch.column(1)):
                 parts = pickle.loads(held.as_buffer())
                 parts[1] = parts[1].astype(np.float64)
-                ids, queries, bounds = pickle.loads(sent.as_buffer())
-                q, names, scores = search(Tree(*parts), ids, queries, bounds, k)
+                if place == 0:
+                    tree = Tree(*parts)
+                    continue
+                ids, queries, bounds = parts
+                q, names, scores = search(tree, ids, queries, bounds, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     return run
@@ -208,16 +221,22 @@ def top_k(embeddings: DataFrame, scratch: Scratch, every: int = 20, k: int = 20,
         own = queries.select("size", "block", "vec_id", "vector", "bound").groupBy("size", "block").applyInArrow(gathered, "size int, block int, queries binary")
         return own.join(counts, "size").select("size", "block", "shards", "queries")
 
-    def searched(pairs: DataFrame, number: int, name: str) -> DataFrame:
-        # Few pairs for each task: a row holds a whole tree and a block of queries.
-        spread = pairs.join(trees, ["size", "shard"]).repartition(max(1, number), "size", "block", "shard")
-        return scratch.write(in_arrow(spread.select("tree", "queries"), visit(k), FOUND), name)
+    def searched(pairs: DataFrame, blocks_each, name: str) -> DataFrame:
+        """pairs: size, shard, block, turn (its number among the blocks of the shard), queries; blocks_each: the number of turns."""
+        chunks = sum(s * max(1, -(-blocks_each(s, b) // CHUNK)) for _, s, b in plan)
+        copies = F.sequence(F.lit(0), F.floor((F.greatest(F.col("turns"), F.lit(1)) - 1) / CHUNK).cast("int"))
+        turns = F.broadcast(spark.createDataFrame([(size, blocks_each(s, b)) for size, s, b in plan], "size int, turns int"))
+        planted = trees.join(turns, "size").select("size", "shard", F.explode(copies).alias("chunk"), F.lit(0).alias("place"), F.col("tree").alias("held"))
+        sent = pairs.select("size", "shard", F.floor(F.col("turn") / CHUNK).cast("int").alias("chunk"), (F.col("turn") + 1).cast("int").alias("place"), F.col("queries").alias("held"))
+        met = planted.unionByName(sent).repartition(max(1, min(chunks, MOST_PARTITIONS)), "size", "shard", "chunk").sortWithinPartitions("size", "shard", "chunk", "place")
+        return scratch.write(in_arrow(met.select("place", "held"), visit(k), FOUND), name)
 
     home = F.pmod(F.col("block"), F.col("shards")).cast("int")
     blocks = sent(asked.withColumn("bound", F.lit(float("-inf"))))
-    first = searched(blocks.withColumn("shard", home), sum(b for _, _, b in plan), "home")
+    # Blocks 0, s, 2 s ... have shard 0 of s as their home.
+    first = searched(blocks.withColumn("shard", home).withColumn("turn", F.floor(F.col("block") / F.col("shards"))), lambda s, b: -(-b // s), "home")
     bounds = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(None).cast("double").alias("bound"))
     known = asked.join(bounds.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     others = sent(known).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter(F.col("shard") != home)
-    rest = searched(others, sum((s - 1) * b for _, s, b in plan), "rest")
+    rest = searched(others.withColumn("turn", F.col("block")), lambda s, b: b, "rest")
     return best(first.union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
