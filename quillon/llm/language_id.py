@@ -8,11 +8,11 @@ bytes. The trees are frozen after counting. A text's code length under each lang
 the language with the shortest one is predicted.
 
 Counting is distributed over all training rows: 4-byte grams by language, summed before and after one
-shuffle. The driver gets all of them, so that totals and escapes are those of all rows; their number grows
-slowly with the input. Only where `max_grams` is given are there at most as many for each language (the most frequent,
-cut at a power of two).
+shuffle. The driver gets all of them, none is dropped, so that totals and escapes are those of all rows. They grow
+slowly with the input and cost 9 bytes for each language that knows them, where all do 4: the trees have a row for all
+languages only for grams that all of them know and for contexts under three bytes, of which there are few.
 
-Defined results: null or letterless texts give `und` with score 0.0; repeated rows are scored
+Defined results: texts of any length are scored whole; null or letterless texts give `und` with score 0.0; repeated rows are scored
 each; with no training row every text is `und`; ties go to the smaller language name. Other columns,
 whatever their names, pass through untouched.
 """
@@ -98,8 +98,12 @@ class ContextTrees:
     """Frozen trees of all languages as tables: code lengths of grams known to any language, by language."""
 
     languages: list[str]
-    known: list[np.ndarray]  # by context length 3, 2: sorted grams
-    bits: list[np.ndarray]  # their code lengths, a row for each gram, a column for each language
+    known: list[np.ndarray]  # grams of four bytes, of three: those that all languages know first
+    shared: np.ndarray  # code lengths of the four-byte grams that all languages know, a column for each language
+    first: np.ndarray  # for each other four-byte gram, its first place in `of` and `bits`; one more at the end
+    of: np.ndarray  # languages that know these grams
+    bits: np.ndarray  # their code lengths
+    three: np.ndarray  # code lengths of three-byte grams, a column for each language
     contexts: list[np.ndarray]  # by context length 3, 2: sorted contexts
     escapes: list[np.ndarray]  # their escape costs
     pairs: np.ndarray  # code lengths of a byte after one byte, 65536 rows
@@ -112,20 +116,24 @@ class ContextTrees:
         if self.finders is None:
             self.finders = [[Finder(k) for k in x] for x in (self.known, self.contexts)]
         grams_of, contexts_of = self.finders
-        at = grams_of[0].find(wanted)
-        out = self.bits[0][at] if len(self.bits[0]) else np.zeros((len(at), len(self.languages)), np.float32)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            out[miss] = 0
-            for level, width in ((0, 24), (1, 16)):
-                rest = wanted[miss]
-                above = contexts_of[level].find((rest >> np.uint32(8)) & np.uint32((1 << width) - 1))
-                out[miss[above >= 0]] += self.escapes[level][above[above >= 0]]
-                if level == 0:
-                    at = grams_of[1].find(rest & np.uint32(0xFFFFFF))
-                    out[miss[at >= 0]] += self.bits[1][at[at >= 0]]
-                    miss = miss[at < 0]
-            out[miss] += self.pairs[wanted[miss] & np.uint32(0xFFFF)]
+        at, common = grams_of[0].find(wanted), len(self.shared)
+        out = self.shared[np.minimum(np.maximum(at, 0), common - 1)] if common else np.zeros((len(at), len(self.languages)), np.float32)
+        miss = rest = np.flatnonzero((at < 0) | (at >= common))
+        if len(rest):  # some languages, or all, go by the shorter contexts
+            tail = wanted[rest]
+            below = grams_of[1].find(tail & np.uint32(0xFFFFFF))
+            out[rest] = self.three[np.maximum(below, 0)] if len(self.three) else 0
+            miss = np.flatnonzero(below < 0)
+            own = tail[miss]
+            out[rest[miss]] = self.pairs[own & np.uint32(0xFFFF)]
+            for level, width, rows in ((1, 16, miss), (0, 24, np.arange(len(rest)))):
+                above = contexts_of[level].find((tail[rows] >> np.uint32(8)) & np.uint32((1 << width) - 1))
+                out[rest[rows[above >= 0]]] += self.escapes[level][above[above >= 0]]
+            some = np.flatnonzero(at[rest] >= 0)
+            gram = at[rest[some]] - common
+            number = self.first[gram + 1] - self.first[gram]
+            entry = np.repeat(self.first[gram] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))
+            out[np.repeat(rest[some], number), self.of[entry]] = self.bits[entry]
         return out
 
     def __getstate__(self):
@@ -181,14 +189,23 @@ def freeze(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> ContextTrees:
     below = spread(0, 0, np.arange(256, dtype=np.uint32), escape(0, np.zeros(256, np.uint32)) + below)
     pair = np.arange(65536, dtype=np.uint32)
     pairs = spread(1, 0, pair, escape(1, pair >> np.uint32(8)) + below[pair & 255])
-    three, four = union(2, 0), union(3, 0)
+    three = union(2, 0)
     bits3 = spread(2, 0, three, escape(2, three >> np.uint32(8)) + pairs[three & np.uint32(0xFFFF)])
-    tail = four & np.uint32(0xFFFFFF)
-    bits4 = spread(3, 0, four, escape(3, four >> np.uint32(8)) + bits3[np.searchsorted(three, tail)])
     contexts = [union(3, 2), union(2, 2)]
     escapes = [escape(3, contexts[0]), escape(2, contexts[1])]
+    # Four-byte grams with the languages that know them, by gram.
+    gram = np.concatenate([trees[x, 3][0] for x in languages] or [np.zeros(0, np.uint32)]).astype(np.uint32)
+    of = np.repeat(np.arange(len(languages), dtype=np.uint8 if len(languages) < 256 else np.int32), [len(trees[x, 3][0]) for x in languages])
+    bits = np.concatenate([trees[x, 3][1] for x in languages] or [np.zeros(0)]).astype(np.float32)
+    order = np.argsort(gram, kind="stable")
+    gram, of, bits = gram[order], of[order], bits[order]
+    four, first, number = np.unique(gram, return_index=True, return_counts=True)
+    every = number == len(languages)
+    shared = bits[np.repeat(every, number)].reshape(-1, max(1, len(languages)))
+    partly = np.repeat(~every, number)
+    first = np.concatenate([[0], np.cumsum(number[~every])])
     small = lambda x: x.astype(np.float32)
-    return ContextTrees(languages, [four, three], [small(bits4), small(bits3)], contexts, [small(x) for x in escapes], small(pairs))
+    return ContextTrees(languages, [np.concatenate([four[every], four[~every]]), three], shared, first, of[partly], bits[partly], small(bits3), contexts, [small(x) for x in escapes], small(pairs))
 
 
 def count_grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,37 +232,14 @@ def count_grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None) -> ContextTrees:
-    """Counts every row of docs with text and language and freezes the trees.
-
-    max_grams: most grams kept of a language, which bounds the driver's memory; None: all.
-    """
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> ContextTrees:
+    """Counts every row of docs with text and language and freezes the trees."""
     counted = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    counted = in_arrow(counted, count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    steps: dict[str, dict[int, int]] = {}
-    for name, step, n in [] if max_grams is None else counted.groupBy("lang", F.floor(F.log2("n")).alias("step")).count().collect():
-        steps.setdefault(name, {})[step] = n
-    least = {}
-    for name, by in steps.items():
-        total, low = 0, max(by)
-        for step in sorted(by, reverse=True):
-            total += by[step]
-            if total > max_grams and step != low:
-                break
-            low = step
-        least[name] = 1 << low
-    rows = counted
-    if any(n > 1 for n in least.values()):
-        kept = F.lit(False)
-        for name, n in least.items():
-            kept = kept | ((F.col("lang") == name) & (F.col("n") >= n))
-        rows = counted.filter(kept)
-    table = rows.toArrow()
-    counted.unpersist()
-    names = np.asarray(table["lang"].combine_chunks().dictionary_encode().indices) if table.num_rows else np.zeros(0, int)
-    values = table["lang"].combine_chunks().dictionary_encode().dictionary.to_pylist() if table.num_rows else []
+    table = in_arrow(counted, count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = table["lang"].combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    code = np.asarray(names.indices)
     gram, n = table["gram"].to_numpy().astype(np.uint32), table["n"].to_numpy().astype(np.float64)
-    return freeze({name: (gram[names == j], n[names == j]) for j, name in enumerate(values)})
+    return freeze({name: (gram[code == j], n[code == j]) for j, name in enumerate(names.dictionary.to_pylist())})
 
 
 def predict(texts: pa.Array, trees: ContextTrees) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
