@@ -6,14 +6,15 @@ A store is a folder of two Parquet tables, so that any file system that Spark re
     segment, block, first (ids before the block in its segment), n_tokens, pieces of documents as
     doc_id, part, length (little-endian int64 lists), the id stream as
     states (LANES 64-bit states), words (32-bit little-endian, in reading order), checkpoints
-    (each: step, words read, states; decoding can start at any of them), crc32 of the ids.
+    (each: step, words read, crc32 of the ids from there to the block's end, states; decoding can start at any of them:
+    read_span does), crc32 of the ids.
 Token t of a block belongs to lane t % LANES and step t // LANES: the lanes interleave, and all lanes of a step
 are coded at once. Coding runs from the last step to the first, decoding from the first to the last.
 
 A segment holds a range of documents in ascending id order, segments ascend too. Documents fill blocks of about
 BLOCK ids; only a document longer than a block is split.
 
-Defined results: null texts count as empty and hold the end id alone; rows without an id come first; rows
+Defined results: texts of any length are encoded whole; null texts count as empty and hold the end id alone; rows without an id come first; rows
 that repeat an id are coded each; an empty table gives an empty store; other columns do no harm.
 """
 
@@ -148,9 +149,10 @@ BLOCKS = "segment long, block long, first long, n_tokens long, doc_id binary, pa
 def _block(coder: Coder, segment: int, number: int, first: int, docs: list, parts: list, ids: list) -> list:
     flat = np.concatenate(ids)
     states, words, marks = coder.encode(flat)
-    held = b"".join(np.array([step, at], "<i8").tobytes() + s.astype("<u8").tobytes() for step, at, s in marks)
+    raw = flat.astype("<u4").tobytes()
+    held = b"".join(np.array([step, at, zlib.crc32(raw[4 * step * LANES :])], "<i8").tobytes() + s.astype("<u8").tobytes() for step, at, s in marks)
     whole = lambda x: np.array(x, "<i8").tobytes()
-    crc = zlib.crc32(flat.astype("<u4").tobytes())
+    crc = zlib.crc32(raw)
     return [segment, number, first, len(flat), whole([NO_ID if d is None else d for d in docs]), whole(parts), whole([len(x) for x in ids]), states.astype("<u8").tobytes(), words.astype("<u4").tobytes(), held, crc]
 
 
@@ -216,20 +218,42 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, scratch: Scratch, en
 # ------------------------------------------------------------------- reading
 
 
+#: Bytes of a checkpoint.
+MARK = 24 + 8 * LANES
+
+
 def decode_block(coder: Coder, row: dict, checkpoint: int | None = None) -> np.ndarray:
-    """Ids of a block, from one of its checkpoints on if given; a whole block must meet its checksum."""
-    words = np.frombuffer(row["words"], "<u4")
+    """Ids of a block, from one of its checkpoints on if given; they must meet the checksum."""
+    words, state, step, at, crc = np.frombuffer(row["words"], "<u4"), np.frombuffer(row["states"], "<u8"), 0, 0, row["crc32"]
     if checkpoint is not None:
-        width = 16 + 8 * LANES
-        mark = row["checkpoints"][checkpoint * width : (checkpoint + 1) * width]
-        step, at = np.frombuffer(mark[:16], "<i8")
-        return coder.decode(row["n_tokens"], np.frombuffer(mark[16:], "<u8"), words, int(step), int(at))
-    ids = coder.decode(row["n_tokens"], np.frombuffer(row["states"], "<u8"), words)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != row["crc32"]:
+        mark = row["checkpoints"][checkpoint * MARK : (checkpoint + 1) * MARK]
+        (step, at, crc), state = np.frombuffer(mark[:24], "<i8").tolist(), np.frombuffer(mark[24:], "<u8")
+    ids = coder.decode(row["n_tokens"], state, words, step, at)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError(f"block {row['block']} of segment {row['segment']} does not meet its checksum")
     return ids
 
 
+def read_span(spark: SparkSession, path: str, segment: int, start: int, n: int) -> DataFrame:
+    """The ids from `start` of a segment on, n at most, as rows (start, ids) in any order. Only blocks of the span are read, each
+    from the last checkpoint before it."""
+    frequencies = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/frequencies").first()[0]))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(frequencies)
+        for batch in rows:
+            for row in batch.to_pylist():
+                low, high = max(start - row["first"], 0), min(start + n - row["first"], row["n_tokens"])
+                marks = [int(np.frombuffer(row["checkpoints"][k : k + 8], "<i8")[0]) * LANES for k in range(0, len(row["checkpoints"]), MARK)]
+                before = sum(x <= low for x in marks)
+                skipped = marks[before - 1] if before else 0
+                ids = decode_block(coder, row, before - 1 if before else None)[low - skipped : high - skipped]
+                yield pa.RecordBatch.from_arrays([pa.array([row["first"] + low]), pa.array([ids.tolist()], pa.list_(pa.int64()))], ["start", "ids"])
+
+    blocks = spark.read.parquet(f"{path}/blocks").filter((F.col("segment") == segment) & (F.col("first") < start + n) & (F.col("first") + F.col("n_tokens") > start))
+    return in_arrow(blocks.select(*[x.split()[0] for x in BLOCKS.split(", ")]), run, "start long, ids array<long>")
+
+
 def crc32_joined(first: int, second: int, length: int) -> int:
     """crc32 of two byte strings one after the other, from theirs and the second one's length."""
 
