@@ -158,6 +158,13 @@ def test_embeddings_are_brute_force(spark, with_clashes, monkeypatch):
     assert V.near_duplicates(df.limit(0), Scratch(spark, "test")).count() == 0
 
 
+def test_an_id_with_several_vectors_is_all_of_them(spark):
+    one, two, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, one, 1), (5, two, 1), (6, one, 1), (7, two, 1), (8, two, 1), (9, other, 1)]
+    told = V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), Scratch(spark, "test")).collect()
+    assert sorted(map(tuple, told)) == [(5, 2, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (8, 2, 5, False), (9, 0, 9, True)]
+
+
 def test_more_passes_for_more_vectors():
     assert V.passes_needed(10, 0.93, 64, 1e-6) == 4 and V.passes_needed(10**4, 0.93, 64, 1e-6) < V.passes_needed(10**8, 0.93, 64, 1e-6)
 

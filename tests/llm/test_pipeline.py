@@ -37,3 +37,27 @@ def test_pipeline(spark, prose_of, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in out} == left
     assert M.dedup_query(docs).filter("not kept").count() == 0
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, odd_rows, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    rows = [(i, t, "aa", "src", len(t or ""), "x") for i, t in odd_rows]
+    for name, own, labels in (("none", [], []), ("odd", rows, [(903, 1, 0), (905, 1, 0), (904, 0, 0), (None, None, None)])):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, f"{tmp_path}/odd")
+        assert after.columns == docs.columns
+        docs = after
+    left = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    assert not {i for i, _ in left} & {900, 901, 902, 904} and sum(t == odd_rows[5][1] for _, t in left) == 1
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {x["doc_id"] for x in out} == {i for i, _ in left}
+    bins = {}
+    for x in out:
+        bins.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for own in bins.values():  # no gap, no overlap, nothing beyond a sequence
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 2048

@@ -111,6 +111,12 @@ def test_store(spark, prose_of, odd_rows, with_clashes, monkeypatch):
     whole = R.decode_block(coder, block)
     if block["checkpoints"]:
         assert (R.decode_block(coder, block, 0) == whole[R.CHECKPOINT * R.LANES :]).all()
+        with pytest.raises(ValueError, match="checksum"):
+            R.decode_block(coder, {**block, "checkpoints": block["checkpoints"][:16] + b"\1" + block["checkpoints"][17:]}, 0)
+    for start, n in ((0, 5), (len(whole) // 2, 70_000), (len(whole) - 3, 10), (R.CHECKPOINT * R.LANES + 5, 9), (0, 1 << 30)):
+        parts = sorted(map(tuple, R.read_span(spark, path, block["segment"], start, n).collect()))
+        assert parts[0][0] == start and parts[0][1] == whole[start : start + n].tolist()[: len(parts[0][1])]
+        assert all(a[0] + len(a[1]) == b[0] for a, b in zip(parts, parts[1:]))
     with pytest.raises(ValueError, match="checksum"):
         R.decode_block(coder, {**block, "crc32": block["crc32"] ^ 1})
     assert R.store_query(spark.createDataFrame([(None, "a"), (None, None)], "doc_id long, text string"), WORD, scratch).count() == 2
@@ -239,6 +245,8 @@ def test_search_edges(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in S.top_k(df, Scratch(spark, "test")).collect()] == [(0, 1, 1, 64 * 128)]
     assert S.top_k(df.limit(0), Scratch(spark, "test")).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 2.0]), (1, [5.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(x)[1:] for x in S.top_k(twice, Scratch(spark, "test"), k=3).orderBy("rank").collect()] == [(1, 1, 64 * 320), (2, 1, 64 * 192), (3, 1, 64 * 128)]
 
 
 def test_tree_boxes_are_tight():
