@@ -200,7 +200,7 @@ def test_store_and_statements(spark, tmp_path):
     one.commit()
     with pytest.raises(ConflictError):
         two.commit()
-    assert store.table("kv").count() == 0 and store.vacuum() > 0
+    assert store.table("kv").count() == 0 and store.vacuum() == 0 and store.vacuum(older_than=-1) > 0
     with pytest.raises(RuntimeError), store.begin() as t:
         t.insert("kv", spark.createDataFrame([(9, "z")], "k long, v string"))
         raise RuntimeError
