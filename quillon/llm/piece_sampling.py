@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections import Counter
@@ -77,7 +78,7 @@ def count_pieces(path: str):
             for text in batch.column(0).to_pylist():
                 if text:
                     words.update(words_of(model, text))
-            if len(words) > 300_000:
+            if len(words) > 600_000:
                 settle()
         settle()
         seen = np.flatnonzero(total)
@@ -104,7 +105,7 @@ def _hash_steps(h: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Pieces by hashes of their characters; weights; the bytes' pieces."""
+    """Pieces and their beginnings by hashes of their characters; weights; the bytes' pieces."""
 
     def __init__(self, path: str, weights: np.ndarray):
         self.model, self.weights = processor(path), weights
@@ -117,31 +118,37 @@ class Vocabulary:
         points = np.zeros((len(pieces), self.longest), np.int64)
         for j, piece in enumerate(pieces):
             points[j, : len(piece)] = list(map(ord, piece))
-        hashes, size_of = np.zeros(len(pieces), np.uint64), np.array([len(x) for x in pieces])
+        h, size_of, spelled = np.zeros(len(pieces), np.uint64), np.array([len(x) for x in pieces]), []
         for k in range(self.longest):
-            hashes = np.where(k < size_of, _hash_steps(hashes, points[:, k]), hashes)
-        hashes = mix(hashes)
-        self.shift = np.uint64(64 - 17)
-        self.slots = np.full(1 << 17, -1, np.int32)
-        self.keys, self.ids = hashes, np.array(usable, np.int32)
-        for j, at in enumerate((hashes >> self.shift).astype(int)):
+            live = np.flatnonzero(size_of > k)
+            h[live] = _hash_steps(h[live], points[live, k])
+            spelled.append((mix(h[live]), np.where(size_of[live] == k + 1, np.array(usable)[live], -1)))
+        hashes, ids = (np.concatenate(x) for x in zip(*spelled))
+        order = np.lexsort((-ids, hashes))  # of a piece that is a beginning too, the piece
+        hashes, ids = hashes[order], ids[order]
+        own = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        self.keys, self.ids = hashes[own], ids[own].astype(np.int32)
+        bits = int(np.ceil(np.log2(len(self.keys) * 2.5)))
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        for j, at in enumerate((self.keys >> self.shift).astype(int).tolist()):
             while self.slots[at] >= 0:
-                at = (at + 1) & 0x1FFFF
+                at = (at + 1) & self.last
             self.slots[at] = j
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece ids, -1 for strings that are no piece."""
+        """Piece ids, -1 for beginnings of pieces that are none, -2 for all else."""
         at = (hashes >> self.shift).astype(np.int64)
         found = self.slots[at]
         left = np.flatnonzero((found >= 0) & (self.keys[found] != hashes))
         at = at[left]
         while len(left):
-            at = (at + 1) & 0x1FFFF
+            at = (at + 1) & self.last
             got = self.slots[at]
             found[left] = got
             on = (got >= 0) & (self.keys[got] != hashes[left])
             left, at = left[on], at[on]
-        return np.where(found >= 0, self.ids[found], -1)
+        return np.where(found >= 0, self.ids[found], -2)
 
     def byte_ids(self, char: str) -> list[int]:
         if char not in self.spelled:
@@ -149,26 +156,28 @@ class Vocabulary:
         return self.spelled[char]
 
 
+_NONE = np.iinfo(np.int32).max
 #: Characters of texts that are sampled at once; a longer text alone.
 TOGETHER = 1 << 19
 #: States of a worker's lattices, beyond which it starts anew.
-KEPT_STATES = 1_500_000
+KEPT_STATES = 4_000_000
 
 
 class Lattices:
     """The lattices of words as flat tables that grow with the words met.
 
-    A word's states are its characters in order, from `base` to `end`. The edges of state s, shorter pieces first, are
+    A word's states are its characters in order, from `base` to `end`. The edges of state s, longer pieces first, are
     those from first[s] to first[s + 1]: piece (-1: the character's bytes), length in characters, log probability, and
     upto, the probability of the edges up to this one."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, int] = {}
-        self.base, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.piece, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.log_prob, self.upto = np.zeros(0, np.float32), np.zeros(0, np.float32)
+        self.words = self.states = self.edges = 0  # used of the tables, which have room for more
+        self.base, self.end = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.first = np.array([0, _NONE], np.int32)
+        self.piece, self.length = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.log_prob, self.upto = np.zeros(1, np.float32), np.zeros(1, np.float32)
         self.unknown: dict[int, list[int]] = {}  # ids of the bytes, by edge
 
     def numbers(self, words: list[str]) -> np.ndarray:
@@ -177,14 +186,14 @@ class Lattices:
         if None in out:
             missing = [k for k, x in enumerate(out) if x is None]
             new = list(dict.fromkeys([words[k] for k in missing]))
-            self.known.update(zip(new, range(len(self.base), len(self.base) + len(new))))
+            self.known.update(zip(new, range(self.words, self.words + len(new))))
             self._add(new)
             for k in missing:
                 out[k] = self.known[words[k]]
         return np.array(out, np.int64)
 
     def _add(self, words: list[str]) -> None:
-        vocabulary, states, edges = self.vocabulary, len(self.first) - 1, len(self.piece)
+        vocabulary, states, edges = self.vocabulary, self.states, self.edges
         length = np.array([len(w) for w in words], np.int64)
         end = np.cumsum(length)
         text = "".join(words)
@@ -197,9 +206,11 @@ class Lattices:
                 inside = np.flatnonzero(live + k < stop[live])
                 live, h = live[inside], h[inside]
             h = _hash_steps(h, code[live + k])
-            ids = vocabulary.find(mix(h))
-            hit = np.flatnonzero(ids >= 0)
-            own, ids = live[hit], ids[hit]
+            found = vocabulary.find(mix(h))
+            hit = np.flatnonzero(found >= 0)
+            own, ids = live[hit], found[hit]
+            on = np.flatnonzero(found > -2)  # no piece begins like the others
+            live, h = live[on], h[on]
             if k == 0:  # characters that are no piece
                 odd = np.flatnonzero(np.bincount(own, minlength=n) == 0)
                 own, ids = np.concatenate([own, odd]), np.concatenate([ids, np.full(len(odd), -1, np.int32)])
@@ -208,12 +219,13 @@ class Lattices:
         first = np.concatenate([[0], np.cumsum(count)])
         total_edges, at = int(first[-1]), first[:-1].copy()
         piece, size = np.empty(total_edges, np.int32), np.empty(total_edges, np.int64)
-        for k, (own, ids) in enumerate(hits):  # shorter pieces first
+        for k in reversed(range(len(hits))):  # longer pieces first: they are likelier, so that few steps look further
+            own, ids = hits[k]
             piece[at[own]], size[at[own]] = ids, k + 1
             at[own] += 1
         weight = vocabulary.weights[piece]
         for s in odd.tolist():
-            weight[first[s]] = vocabulary.weights[vocabulary.byte_ids(text[s])].sum()
+            weight[first[s + 1] - 1] = vocabulary.weights[vocabulary.byte_ids(text[s])].sum()
         # Backward sums, one distance from the words' ends after the other.
         distance = stop - np.arange(n)
         order = np.argsort(distance.astype(np.int16) if len(distance) and distance.max() < 1 << 15 else distance, kind="stable")
@@ -240,20 +252,30 @@ class Lattices:
             upto[first[own] + k] = held[own]
         upto[first[1:] - 1] = np.inf
         for s in odd.tolist():
-            self.unknown[edges + int(first[s])] = vocabulary.byte_ids(text[s])
-        join = lambda a, b: np.concatenate([a, b])
-        self.base, self.end = join(self.base, end - length + states), join(self.end, end + states)
-        self.first = join(self.first, first[1:] + edges)
-        self.piece, self.length = join(self.piece, piece), join(self.length, size.astype(np.int32))
-        self.log_prob, self.upto = join(self.log_prob, log_prob), join(self.upto, upto)
+            self.unknown[edges + int(first[s + 1]) - 1] = vocabulary.byte_ids(text[s])
+        self._append(self.words, base=end - length + states, end=end + states)
+        self._append(states + 1, first=first[1:] + edges)
+        self._append(edges, piece=piece, length=size, log_prob=log_prob, upto=upto)
+        self.words, self.states, self.edges = self.words + len(words), states + n, edges + total_edges
+
+    def _append(self, at: int, **columns: np.ndarray) -> None:
+        for name, values in columns.items():
+            table = getattr(self, name)
+            if at + len(values) > len(table):
+                table = np.concatenate([table, np.full(at + len(values), _NONE if name == "first" else 0, table.dtype)])
+                setattr(self, name, table)
+            table[at : at + len(values)] = values
 
     def step(self, state: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """Edges drawn."""
         edge = self.first[state]
         live = np.flatnonzero(self.upto[edge] <= uniform)
+        own, uniform = edge[live], uniform[live]
         while len(live):
-            edge[live] += 1
-            live = live[self.upto[edge[live]] <= uniform[live]]
+            own += 1
+            edge[live] = own
+            on = np.flatnonzero(self.upto[own] <= uniform)
+            live, own, uniform = live[on], own[on], uniform[on]
         return edge
 
 
@@ -270,26 +292,41 @@ def uniforms(key: np.ndarray, *salts) -> np.ndarray:
     return ((salted(key, *salts) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _steps(base: np.ndarray, count: int) -> np.ndarray:
+    """Numbers in [0, 1) of 24 bits from 32-bit hashes, one for each step of a word."""
+    h = base + np.uint32(count * 0x9E3779B1 & 0xFFFFFFFF)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x846CA68B)
+    h ^= h >> np.uint32(16)
+    return (h >> np.uint32(8)).astype(np.float32) * np.float32(2.0**-24)
+
+
 def draw(lattices: Lattices, word_of: np.ndarray, base: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segmentations of word instances: word, hash for its random numbers, state to start from. Instance and edge of each
-    step, by instance."""
-    live, count, parts, end = np.arange(len(word_of)), 0, [], lattices.end[word_of]
-    on = state < end
-    live, state, end, base = live[on], state[on], end[on], base[on]
+    """Segmentations of word instances: word, 32-bit hash for its random numbers, state to start from. Instance and edge of
+    each step, by instance."""
+    live, count, parts, end = np.arange(len(word_of), dtype=np.int32), 0, [], lattices.end[word_of]
+    on = np.flatnonzero(state < end)
+    if len(on) < len(live):
+        live, state, end, base = live[on], state[on], end[on], base[on]
     while len(live):
-        edge = lattices.step(state, uniforms(base, count))
+        uniform = _steps(base, count)
+        edge = lattices.step(state, uniform)
         parts.append((live, edge))
         state = state + lattices.length[edge]
         on = np.flatnonzero(state < end)
         live, state, end, base = live[on], state[on], end[on], base[on]
         count += 1
-    number = np.zeros(len(word_of), np.int64)
+    number = np.zeros(len(word_of), np.int32)
     for own, _ in parts:
         number[own] += 1
-    at, out = np.cumsum(number) - number, np.zeros(int(number.sum()), np.int64)
-    for step, (own, edge) in enumerate(parts):
-        out[at[own] + step] = edge
-    return np.repeat(np.arange(len(word_of)), number), out
+    at, out = (np.cumsum(number) - number).astype(np.int32), np.zeros(int(number.sum()), np.int32)
+    for own, edge in parts:
+        place = at[own]
+        out[place] = edge
+        at[own] = place + np.int32(1)
+    return np.repeat(np.arange(len(word_of), dtype=np.int32), number), out
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:
@@ -305,7 +342,7 @@ def _cut_gumbel(place: np.ndarray, limit: np.ndarray | float, uniform: np.ndarra
 
 
 #: Steps whose prefix has a log probability under this wait together as one set until it is popped.
-FAR = -60.0
+FAR = -25.0
 
 
 class Search:
@@ -349,7 +386,7 @@ def settle(lattices: Lattices, searches: list[Search], paths: list[tuple], k: in
     only). All searches are dealt with at once, `width` steps each; the few that need more come again."""
     size = np.array([len(p[1]) for p in paths], np.int64)
     end = np.cumsum(size)
-    log_prob = lattices.log_prob[np.concatenate([np.zeros(0, np.int64), *[p[1] for p in paths]])].astype(np.float64)
+    log_prob = lattices.log_prob[np.concatenate([np.zeros(0, np.int32), *[p[1] for p in paths]])].astype(np.float64)
     begin = end - size
 
     def summed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -402,21 +439,21 @@ def settle(lattices: Lattices, searches: list[Search], paths: list[tuple], k: in
 
 def edges_of(lattices: Lattices, edge: int) -> tuple[np.ndarray, list[int]]:
     """Probabilities and lengths of all edges of the state that an edge leaves."""
-    state = int(np.searchsorted(lattices.first, edge, "right")) - 1
+    state = int(np.searchsorted(lattices.first, np.int32(edge), "right")) - 1
     low, high = lattices.first[state], lattices.first[state + 1]
     return np.exp(lattices.log_prob[low:high].astype(np.float64)), lattices.length[low:high].tolist()
 
 
-def ids_of(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
-    ids = lattices.piece[edges]
+def ids_of(lattices: Lattices, paths: list[np.ndarray]) -> list[np.ndarray]:
+    """The ids of each path of edges."""
+    edges = np.concatenate([np.zeros(0, np.int32), *paths])
+    ids, number = lattices.piece[edges], np.ones(len(edges), np.int64)
     odd = np.flatnonzero(ids < 0)
-    if not len(odd):
-        return ids
-    parts, at = [], 0
-    for j in odd.tolist():
-        parts += [ids[at:j], np.array(lattices.unknown[int(edges[j])], np.int32)]
-        at = j + 1
-    return np.concatenate([*parts, ids[at:]])
+    spelled = [lattices.unknown[e] for e in edges[odd].tolist()]
+    number[odd] = [len(x) for x in spelled]
+    out, ends = np.repeat(ids, number), np.concatenate([[0], np.cumsum(number)])[np.cumsum([0, *map(len, paths)])]
+    out[out < 0] = list(chain.from_iterable(spelled))
+    return [out[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def row_key(seed: int, key) -> int:
@@ -427,7 +464,7 @@ def row_key(seed: int, key) -> int:
 def sample_texts(lattices: Lattices, keys: list, texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best first: ids, log probability, perturbed value, log inclusion probability."""
     split = [words_of(lattices.vocabulary.model, t) if t else [] for t in texts]
-    if len(lattices.first) > KEPT_STATES:
+    if lattices.states > KEPT_STATES:
         lattices.__init__(lattices.vocabulary)
     word_of = lattices.numbers(list(chain.from_iterable(split)))
     sizes = np.array([len(x) for x in split], np.int64)
@@ -441,14 +478,13 @@ def sample_texts(lattices: Lattices, keys: list, texts: list[str], k: int, seed:
         first = starts[rows] + words
         n = ends[rows] - first
         at = np.cumsum(n) - n
-        place = np.arange(int(n.sum())) - np.repeat(at - first, n)
-        own = word_of[place]
+        number = (np.arange(int(n.sum())) - np.repeat(at - words, n)).astype(np.int32)  # of each word in its text
+        own = word_of[number + np.repeat(starts[rows], n)]
         state = lattices.base[own]
         state[at[states >= 0]] = states[states >= 0]
-        text = np.repeat(rows, n)
-        instance, edge = draw(lattices, own, salted(hashed[text], np.repeat(salt, n), place - starts[text]), state)
+        instance, edge = draw(lattices, own, salted(np.repeat(salted(hashed[rows], salt), n), number).astype(np.uint32), state)
         low = np.searchsorted(instance, np.append(at, len(own)))
-        number = (place - starts[text])[instance]
+        number = number[instance]
         return [(number[a:b], edge[a:b]) for a, b in zip(low[:-1], low[1:])]
 
     searches = [Search(x) for x in key]
@@ -473,7 +509,7 @@ def sample_texts(lattices: Lattices, keys: list, texts: list[str], k: int, seed:
             mass, lengths = edges_of(lattices, edge)
             used = used | {int(lattices.length[edge])}
             sums = np.where([n in used for n in lengths], 0.0, mass).cumsum()
-            state = int(np.searchsorted(lattices.first, edge, "right")) - 1
+            state = int(np.searchsorted(lattices.first, np.int32(edge), "right")) - 1
             picked = min(int(np.searchsorted(sums, u * sums[-1], "right")), len(sums) - 1)
             chosen.append((int(lattices.first[state]) + picked, used))
             asked.append((int(words[at]), state + lengths[picked]))
@@ -482,13 +518,14 @@ def sample_texts(lattices: Lattices, keys: list, texts: list[str], k: int, seed:
             word, state = (np.array(x, np.int64) for x in zip(*asked))
             for (j, (best, parent, at, _)), (edge, used), w, (words, edges) in zip(popped, chosen, word.tolist(), drawn(rows, word, state, (1 << 43) + number)):
                 old_words, old_edges, _, _ = searches[j].found[parent]
-                paths.append((np.concatenate([old_words[:at], [w], words]), np.concatenate([old_edges[:at], [edge], edges]), best, at, used))
+                paths.append((np.concatenate([old_words[:at], np.array([w], np.int32), words]), np.concatenate([old_edges[:at], np.array([edge], np.int32), edges]), best, at, used))
+    ids = iter(ids_of(lattices, [x[1] for search in searches for x in search.found]))
     out = []
     for search in searches:
         kappa, samples = search.best() if len(search.found) == k else -np.inf, []
-        for _, edges, log_prob, value in search.found:
-            over = np.exp(min(log_prob - kappa, 50.0))
-            samples.append((ids_of(lattices, edges), log_prob, value, float(np.log(-np.expm1(-over))) if over > 1e-12 else log_prob - kappa))
+        for _, _, log_prob, value in search.found:
+            over = math.exp(min(log_prob - kappa, 50.0))
+            samples.append((next(ids), log_prob, value, math.log(-math.expm1(-over)) if over > 1e-12 else log_prob - kappa))
         out.append(samples)
     return out
 
