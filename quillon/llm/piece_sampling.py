@@ -50,11 +50,24 @@ def processor(path: str):
     return SentencePieceProcessor(model_file=path)
 
 
-def words_of(model, text: str) -> list[str]:
+#: Stands before a word that no ▁ leads. Normalised texts hold no such space.
+UNLED = " "
+
+
+def bare_words(model, text: str) -> list[str]:
+    """The words without the ▁ that leads each of them; those that none leads after UNLED."""
     own = model.normalize(text)
-    if " " in own or SPACE * 2 in own or not own.startswith(SPACE):
-        return _WORD.findall(own)
-    return own.replace(SPACE, f" {SPACE}").split(" ")[1:]
+    if own.startswith(SPACE) and SPACE * 2 not in own:
+        return own[1:].split(SPACE)
+    return [w[1:] if w[0] == SPACE else UNLED + w for w in _WORD.findall(own)]
+
+
+def whole_word(bare: str) -> str:
+    return bare[1:] if bare[:1] == UNLED else SPACE + bare
+
+
+def words_of(model, text: str) -> list[str]:
+    return list(map(whole_word, bare_words(model, text)))
 
 
 # ------------------------------------------------------------------ weights
@@ -62,6 +75,7 @@ def words_of(model, text: str) -> list[str]:
 
 def count_pieces(path: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _LATTICES.clear()  # other weights will follow
         model, words = processor(path), Counter()
         total = np.zeros(model.get_piece_size(), np.int64)
 
@@ -69,7 +83,7 @@ def count_pieces(path: str):
             own = list(words)
             for first in range(0, len(own), 50_000):
                 part = own[first : first + 50_000]
-                ids = model.encode([w[1:].replace(SPACE, " ") if w.startswith(SPACE) else w for w in part], num_threads=1)
+                ids = model.encode([w.replace(SPACE, " ") if SPACE in w else w for w in part], num_threads=1)
                 number = np.repeat([words[w] for w in part], [len(x) for x in ids])
                 total[:] += np.bincount(np.fromiter(chain.from_iterable(ids), np.int32, len(number)), number, len(total)).astype(np.int64)
             words.clear()
@@ -77,7 +91,7 @@ def count_pieces(path: str):
         for batch in rows:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words.update(words_of(model, text))
+                    words.update(bare_words(model, text))
             if len(words) > 600_000:
                 settle()
         settle()
@@ -181,13 +195,13 @@ class Lattices:
         self.unknown: dict[int, list[int]] = {}  # ids of the bytes, by edge
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of each word; new ones get their lattices."""
+        """The number of each bare word; new ones get their lattices."""
         out = list(map(self.known.get, words))
         if None in out:
             missing = [k for k, x in enumerate(out) if x is None]
             new = list(dict.fromkeys([words[k] for k in missing]))
             self.known.update(zip(new, range(self.words, self.words + len(new))))
-            self._add(new)
+            self._add(list(map(whole_word, new)))
             for k in missing:
                 out[k] = self.known[words[k]]
         return np.array(out, np.int64)
@@ -463,7 +477,7 @@ def row_key(seed: int, key) -> int:
 
 def sample_texts(lattices: Lattices, keys: list, texts: list[str], k: int, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples, best first: ids, log probability, perturbed value, log inclusion probability."""
-    split = [words_of(lattices.vocabulary.model, t) if t else [] for t in texts]
+    split = [bare_words(lattices.vocabulary.model, t) if t else [] for t in texts]
     if lattices.states > KEPT_STATES:
         lattices.__init__(lattices.vocabulary)
     word_of = lattices.numbers(list(chain.from_iterable(split)))
