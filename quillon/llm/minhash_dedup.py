@@ -16,7 +16,8 @@
 5. Components by alternating large-star and small-star.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer words
-than a shingle make one shingle. Rows with a null id stand alone (component_id null,
+than a shingle make one shingle. Texts of any length count whole; one with more shingles than a block may hold has blocks of its
+own. Rows with a null id stand alone (component_id null,
 kept true). Rows that repeat an id and a text count as one document and are all returned; if the texts of
 an id differ, each row has the component of its own text. An empty table gives an empty result. Other columns do no harm.
 """

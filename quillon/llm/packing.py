@@ -9,7 +9,7 @@ pieces, largest first, where they fit best. Between epochs each island sends its
 as lists of lengths to the next one, which builds them from pieces of its own. Sequences
 that stay badly filled after the last epoch are opened and packed again on fewer islands.
 
-Defined results: null texts count as empty and have the end id alone; repeated rows are packed each, in
+Defined results: texts of any length are encoded whole; null texts count as empty and have the end id alone; repeated rows are packed each, in
 any order; an empty table gives an empty result; other columns do no harm.
 """
 

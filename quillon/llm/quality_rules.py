@@ -9,7 +9,7 @@
 The sample: `fit_rows` (20000) labelled rows with the smallest hashes of their ids; the driver holds that many
 rows of statistics. Labels, language, source and id are never inputs of a score.
 
-Defined results: null texts count as empty, with all statistics 0; without labelled rows each score is 0.5;
+Defined results: texts of any length are measured whole; null texts count as empty, with all statistics 0; without labelled rows each score is 0.5;
 repeated rows are scored each; labels that disagree count as the mean, half up. Other columns do no harm.
 """
 
