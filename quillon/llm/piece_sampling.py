@@ -29,12 +29,12 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, mix
@@ -170,11 +170,12 @@ class Vocabulary:
         return self.spelled[char]
 
 
-_NONE = np.iinfo(np.int32).max
 #: Characters of texts that are sampled at once; a longer text alone.
 TOGETHER = 1 << 19
 #: States of a worker's lattices, beyond which it starts anew.
 KEPT_STATES = 4_000_000
+#: Characters of new words whose lattices are made at once.
+ADDED = 1 << 16
 
 
 class Lattices:
@@ -182,15 +183,15 @@ class Lattices:
 
     A word's states are its characters in order, from `base` to `end`. The edges of state s, longer pieces first, are
     those from first[s] to first[s + 1]: piece (-1: the character's bytes), length in characters, log probability, and
-    upto, the probability of the edges up to this one."""
+    upto, the probability of the edges up to this one. What lies beyond `words`, `states` and `edges` is not set."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, int] = {}
         self.words = self.states = self.edges = 0  # used of the tables, which have room for more
         self.base, self.end = np.zeros(1, np.int32), np.zeros(1, np.int32)
-        self.first = np.array([0, _NONE], np.int32)
-        self.piece, self.length = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.first = np.zeros(1, np.int32)
+        self.piece, self.length = np.zeros(1, np.int32), np.zeros(1, np.min_scalar_type(vocabulary.longest))
         self.log_prob, self.upto = np.zeros(1, np.float32), np.zeros(1, np.float32)
         self.unknown: dict[int, list[int]] = {}  # ids of the bytes, by edge
 
@@ -201,7 +202,9 @@ class Lattices:
             missing = [k for k, x in enumerate(out) if x is None]
             new = list(dict.fromkeys([words[k] for k in missing]))
             self.known.update(zip(new, range(self.words, self.words + len(new))))
-            self._add(list(map(whole_word, new)))
+            new = list(map(whole_word, new))
+            for a, b in text_batches(new, ADDED):
+                self._add(new[a:b])
             for k in missing:
                 out[k] = self.known[words[k]]
         return np.array(out, np.int64)
@@ -276,10 +279,16 @@ class Lattices:
         for name, values in columns.items():
             table = getattr(self, name)
             if at + len(values) > len(table):
-                table = np.concatenate([table, np.full(at + len(values), _NONE if name == "first" else 0, table.dtype)])
+                longer = np.empty(len(table) + at + len(values), table.dtype)  # memory is taken as it fills
+                longer[:at] = table[:at]
+                table = longer
                 setattr(self, name, table)
             table[at : at + len(values)] = values
 
+    def left_by(self, edge: int) -> int:
+        """The state that an edge leaves."""
+        return int(np.searchsorted(self.first[: self.states + 1], np.int32(edge), "right")) - 1
+
     def step(self, state: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """Edges drawn."""
         edge = self.first[state]
@@ -453,7 +462,7 @@ def settle(lattices: Lattices, searches: list[Search], paths: list[tuple], k: in
 
 def edges_of(lattices: Lattices, edge: int) -> tuple[np.ndarray, list[int]]:
     """Probabilities and lengths of all edges of the state that an edge leaves."""
-    state = int(np.searchsorted(lattices.first, np.int32(edge), "right")) - 1
+    state = lattices.left_by(edge)
     low, high = lattices.first[state], lattices.first[state + 1]
     return np.exp(lattices.log_prob[low:high].astype(np.float64)), lattices.length[low:high].tolist()
 
@@ -523,7 +532,7 @@ def sample_texts(lattices: Lattices, keys: list, texts: list[str], k: int, seed:
             mass, lengths = edges_of(lattices, edge)
             used = used | {int(lattices.length[edge])}
             sums = np.where([n in used for n in lengths], 0.0, mass).cumsum()
-            state = int(np.searchsorted(lattices.first, np.int32(edge), "right")) - 1
+            state = lattices.left_by(edge)
             picked = min(int(np.searchsorted(sums, u * sums[-1], "right")), len(sums) - 1)
             chosen.append((int(lattices.first[state]) + picked, used))
             asked.append((int(words[at]), state + lengths[picked]))
@@ -559,9 +568,9 @@ def _lattices(path: str, weights: np.ndarray) -> Lattices:
 SAMPLES = "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 
-def sample(docs: DataFrame, path: str, weights: np.ndarray, k: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """SAMPLES rows: up to k distinct segmentations of each text, ranks from 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def sampler(spark: SparkSession, path: str, weights: np.ndarray, k: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns batches of keys and texts into SAMPLES batches."""
+    shared = spark.sparkContext.broadcast(weights)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(path, shared.value)
@@ -575,7 +584,16 @@ def sample(docs: DataFrame, path: str, weights: np.ndarray, k: int = 3, seed: in
                 names, ranks, _, *numbers = zip(*flat)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ranks, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), *[pa.array(x, pa.float64()) for x in numbers]], ["doc_id", "rank", "ids", "log_prob", "perturbed", "log_inclusion"])
 
-    return in_arrow(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, SAMPLES)
+    return run
+
+
+def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+
+def sample(docs: DataFrame, path: str, weights: np.ndarray, k: int = 3, seed: int = 17, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """SAMPLES rows: up to k distinct segmentations of each text, ranks from 1."""
+    return in_arrow(keyed_texts(docs, doc_id, text), sampler(docs.sparkSession, path, weights, k, seed), SAMPLES)
 
 
 def decode(samples: DataFrame, path: str, ids: str = "ids", output: str = "text") -> DataFrame:
@@ -594,14 +612,18 @@ def decode(samples: DataFrame, path: str, ids: str = "ids", output: str = "text"
 DIGESTS = "doc_id long, rank int, n_pieces int, ids_crc32 long, log_prob double, log_inclusion double"
 
 
-def sampling_query(docs: DataFrame, path: str, k: int = 3) -> DataFrame:
-    """doc_id, rank, n_pieces, ids_crc32, log_prob, log_inclusion of the samples of every document."""
-    drawn = sample(docs, path, piece_weights(docs, path), k)
+def digests(samples: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SAMPLES batches to DIGESTS batches."""
+    for batch in samples:
+        ids, ends = np.asarray(batch.column(2).values, np.uint32), np.asarray(batch.column(2).offsets)
+        crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), batch.column(3), batch.column(5)], ["doc_id", "rank", "n_pieces", "ids_crc32", "log_prob", "log_inclusion"])
 
-    def digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ids, ends = np.asarray(batch.column(2).values, np.uint32), np.asarray(batch.column(2).offsets)
-            crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), batch.column(3), batch.column(5)], ["doc_id", "rank", "n_pieces", "ids_crc32", "log_prob", "log_inclusion"])
 
-    return in_arrow(drawn, digest, DIGESTS)
+def sampling_query(docs: DataFrame, path: str, k: int = 3, seed: int = 17) -> DataFrame:
+    """doc_id, rank, n_pieces, ids_crc32, log_prob, log_inclusion of the samples of every document.
+
+    The digests are taken where the samples are drawn: a second Python worker for each task would hold memory of its own,
+    lattices of its earlier tasks too."""
+    run = sampler(docs.sparkSession, path, piece_weights(docs, path), k, seed)
+    return in_arrow(keyed_texts(docs), lambda rows: digests(run(rows)), DIGESTS)

@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -218,6 +219,28 @@ def test_sampling_and_decoding(spark, prose_of, odd_rows, with_clashes):
     assert G.sampling_query(docs.limit(0), PIECE).count() == 0
 
 
+def test_digests_need_no_worker_besides_the_one_that_draws(spark, prose_of, odd_rows, with_clashes):
+    r = random.Random(8)
+    docs = with_clashes(spark.createDataFrame([(k, prose_of(r, "bb", 15)) for k in range(10)] + odd_rows, "doc_id long, text string"))
+    query = G.sampling_query(docs, PIECE)
+    assert query._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    drawn = G.sample(docs, PIECE, G.piece_weights(docs, PIECE)).collect()
+    want = Counter((x["doc_id"], x["rank"], len(x["ids"]), zlib.crc32(array("I", x["ids"]).tobytes()), x["log_prob"], x["log_inclusion"]) for x in drawn)
+    assert Counter(map(tuple, query.collect())) == want
+
+
+def test_lattices_take_little_more_memory_than_they_hold(prose_of):
+    vocabulary = G.Vocabulary(PIECE, np.log(np.full(32_000, 1 / 32_000)))
+    words = list(dict.fromkeys(prose_of(random.Random(9), "aa", 150_000).split(" ")))
+    tracemalloc.start()
+    try:
+        lattices = G.Lattices(vocabulary)
+        lattices.numbers(words)
+        assert tracemalloc.get_traced_memory()[1] < 80 * lattices.edges
+    finally:
+        tracemalloc.stop()
+
+
 def brute_search(rows, every, k):
     own = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     out = set()
